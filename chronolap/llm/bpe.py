@@ -31,14 +31,16 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.find = ahocorasick.Automaton()
-        for b, i in ranks.items():
-            self.find.add_word(b.decode("latin-1"), (i, len(b)))
-        self.find.make_automaton()
+        self.entries = {b.decode("latin-1"): i for b, i in ranks.items() if self.merge(b) == [i]}  # the others are never a result
+        self.longest = max(map(len, self.entries), default=0)
+        self.find = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for b in self.entries:
+            self.find.add_word(b)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.own: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
         self.unclean = regex.compile(r"\s\s|^\s|\s$|[^\S \n]")
 
     def merge(self, raw: bytes) -> list[int]:
@@ -51,12 +53,6 @@ class Encoder:
             p[at : at + 2] = [p[at] + p[at + 1]]
         return [self.ranks[x] for x in p]
 
-    def stands(self, i: int) -> bool:
-        """Whether merging the entry's own bytes gives the entry."""
-        if (ok := self.own.get(i)) is None:
-            ok = self.own[i] = self.merge(self.bytes_of[i]) == [i]
-        return ok
-
     def compatible(self, a: int, b: int) -> bool:
         if (ok := self.pairs.get((a, b))) is None:
             if len(self.pairs) >= 4 * _MEMO:
@@ -68,39 +64,37 @@ class Encoder:
         """The ids of one match of the pattern."""
         if (i := self.ranks.get(raw)) is not None:
             return [i]
-        n = len(raw)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (i, size) in self.find.iter(raw.decode("latin-1")):
-            if self.stands(i):
-                at[end - size + 1].append((i, size))  # ends ascend, so the longest comes last
-        out: list[tuple[int, int, int]] = []  # id, size, its index in at[place]
+        text, n, longest, entries = raw.decode("latin-1"), len(raw), self.longest, self.entries
+        reach = self.find.longest_prefix
+        out: list[tuple[int, int]] = []  # id, size
         ok = [True] * (n + 1)
-        pos, k = 0, len(at[0]) - 1
+        pos, size = 0, reach(text[:longest])
         while pos < n:
-            while k >= 0:
-                i, size = at[pos][k]
-                if ok[pos + size] and (not out or self.compatible(out[-1][0], i)):
+            while size:
+                i = entries.get(text[pos : pos + size])
+                if i is not None and ok[pos + size] and (not out or self.compatible(out[-1][0], i)):
                     break
-                k -= 1
-            if k >= 0:
-                out.append((i, size, k))
+                size -= 1
+            if size:
+                out.append((i, size))
                 pos += size
-                k = len(at[pos]) - 1 if pos < n else -1
+                size = reach(text[pos : pos + longest])
             else:
                 ok[pos] = False
-                _, size, k = out.pop()
+                _, size = out.pop()
                 pos -= size
-                k -= 1
+                size -= 1
         return [x[0] for x in out]
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
         for p in self.pattern.findall(chunk):
             if (got := self.pieces.get(p)) is None:
-                got = array("I", self.piece(p.encode())).tobytes()
+                if (got := self.old_pieces.get(p)) is None:
+                    got = array("I", self.piece(p.encode())).tobytes()
                 if len(p) < 64:
-                    if len(self.pieces) >= _MEMO:
-                        self.pieces.clear()
+                    if len(self.pieces) >= _MEMO:  # a table that is full becomes the old one, so frequent pieces stay
+                        self.old_pieces, self.pieces = self.pieces, {}
                     self.pieces[p] = got
             out.append(got)
         return b"".join(out)
@@ -109,14 +103,17 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers. A space between two other characters starts a piece."""
         if not text or self.unclean.search(text):
             return self._chunk(text)
-        out, memo = [], self.chunks
+        if len(self.chunks) >= _MEMO:
+            self.old_chunks, self.chunks = self.chunks, {}
+        out, memo, old = [], self.chunks, self.old_chunks
         first, *rest = text.split(" ")
         out.append(self._chunk(first))
         for c in rest:
             if (got := memo.get(c)) is None:
-                got = self._chunk(" " + c)
+                if (got := old.get(c)) is None:
+                    got = self._chunk(" " + c)
                 if len(c) < 64:
-                    if len(memo) >= _MEMO:
+                    if len(memo) >= 2 * _MEMO:
                         memo.clear()
                     memo[c] = got
             out.append(got)
