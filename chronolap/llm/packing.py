@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from chronolap.llm import scratch, words
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-_MEMO = 600_000
+_MEMO = 250_000
 _LOADED: dict[str, tuple] = {}
 
 
@@ -35,7 +35,7 @@ def _load(path: str) -> tuple:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _LOADED[path] = t, {"": b""}
+        _LOADED[path] = t, [{"": b""}, {}]
     return _LOADED[path]
 
 
@@ -43,18 +43,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     """Token ids of each document and end_id, cut into pieces of the capacity.
 
     The tokenizer drops white space and never joins across it, so each word between spaces or line
-    ends is encoded once and kept in a bounded table.
+    ends is encoded once and kept in a table. One that is full becomes the old one, from which words that
+    come again are taken back, so frequent words stay and memory is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, memo = _load(path)
+        t, memos = _load(path)
         end = array("I", [end_id]).tobytes()
-        for b in words.parts(batches, "text"):
-            if len(memo) > _MEMO:
-                memo.clear()
-                memo[""] = b""
+        for b in words.parts(batches, "text", 4 << 20):
+            if len(memos[0]) > _MEMO:
+                memos[:] = {"": b""}, memos[0]
+            memo, old = memos
             split = [(x or "").replace("\n", " ").split(" ") for x in b.column(1).to_pylist()]
-            missing = list({w for ws in split for w in ws} - memo.keys())
+            found = set().union(*split)
+            found = [w for w in found if w not in memo]
+            memo.update((w, old[w]) for w in found if w in old)
+            missing = [w for w in found if w not in memo]
             for i in range(0, len(missing), 20_000):
                 some = missing[i : i + 20_000]
                 for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False)):
