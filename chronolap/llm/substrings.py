@@ -5,7 +5,8 @@ than LEAST tokens remain, gives the compact windows: all passages inside [lo, hi
 centre share its min-hash. Windows of equal value link to the earliest one and to the one before;
 document pairs with at least ENOUGH linked windows are verified on the texts: a passage of the later
 document counts when at least 0.8 of LEAST or more of its tokens in a row (gaps of at most GAP) occur
-within a stretch of like length of the earlier one. Earlier: the smaller doc_id, then the place. Null
+within a stretch of like length of the earlier one. A text equal to an earlier one, if it has LEAST
+tokens, is such a passage as a whole. Earlier: the smaller doc_id, then the place. Null
 or short texts keep all words. Words of a found passage are removed, and the rest stays as it is;
 rows with the same doc_id are told apart by nothing, so ids should be unique. Extra columns are kept.
 """
@@ -96,9 +97,21 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     slim = docs.select("doc_id", "text")
     found = slim.mapInArrow(find, blobs.SCHEMA).repartition("bucket").mapInArrow(join, "a long, b long, n long")
-    pairs = scratch.write(found.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= ENOUGH).select("a", "b"), "pairs")
-    left = slim.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = slim.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    # Equal texts are one class, whose first document stands for all; the others repeat it as a whole.
+    n_words = F.expr(r"size(filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> ''))")
+    texts = scratch.write(slim.where("text is not null").select("doc_id", F.md5("text").alias("k"), F.octet_length("text").alias("size"), n_words.alias("n")), "texts")
+    info = texts.join(texts.groupBy("k").agg(F.min("doc_id").alias("rep")), "k").select("doc_id", "rep", "size", "n")
+    early = info.select(F.col("doc_id").alias("a"), "rep", F.col("size").alias("sa"))
+    late = info.where("doc_id = rep").select(F.col("doc_id").alias("b"), F.col("size").alias("sb"))
+    linked = found.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= ENOUGH).join(early, "a").join(late, "b")
+    # The shorter text travels to the longer one, so a very long document is not copied for each of its pairs.
+    big = F.when(F.col("sa") >= F.col("sb"), F.col("rep")).otherwise(F.col("b"))
+    pairs = scratch.write(linked.select(F.col("rep").alias("a"), "b", big.alias("big")).distinct(), "pairs")
+    copies = info.where(f"doc_id <> rep and n >= {LEAST + SHINGLE - 1}").select("doc_id", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
+    short = slim.select(F.col("doc_id").alias("small"), F.col("text").alias("ts"))
+    long = slim.select(F.col("doc_id").alias("big"), F.col("text").alias("tl"))
+    sent = pairs.withColumn("small", F.when(F.col("big") == F.col("a"), F.col("b")).otherwise(F.col("a"))).join(short, "small").join(long, "big")
+    ta, tb = (F.when(F.col("big") == F.col(x), F.col("tl")).otherwise(F.col("ts")).alias(f"t{x}") for x in "ab")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in words.parts(batches, "tb", 2 << 20):
@@ -110,7 +123,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             d, s, e = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "s", "e"])
 
-    spans = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "doc_id long, s int, e int")
+    spans = sent.select("a", "b", ta, tb).mapInArrow(verify, "doc_id long, s int, e int").union(copies)
     return spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x")).select("doc_id", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
 
 

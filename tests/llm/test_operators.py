@@ -184,9 +184,13 @@ def test_substrings(spark, odd, none):
     shared, near_ = text(80), text(90)
     edit = near_[:45] + ["changed"] + near_[46:]
     parts = [(1, text(200) + shared + text(50)), (2, text(60) + shared), (3, shared + text(300)), (4, text(100) + near_), (5, edit + text(70)), (6, text(400)), (7, text(60) + shared[:40] + text(60))]
+    parts += [(8, parts[5][1]), (9, parts[5][1]), (10, ["twice"] + text(48)), (11, [])]
+    parts += [(12, parts[9][1]), (13, [])]
     got = {x.doc_id: x for x in substrings.query(spark.createDataFrame([(i, " ".join(t)) for i, t in parts], "doc_id long, text string")).collect()}
     assert [got[i].n_removed for i in (1, 4, 6, 7)] == [0, 0, 0, 0]
     assert got[2].spans == [[60, 140]] and got[3].spans == [[0, 80]] and got[5].spans == [[0, 90]]
+    # copies of a long text are one passage; copies below the least length stay
+    assert got[8].spans == got[9].spans == [[0, 400]] and [got[i].n_removed for i in (10, 11, 12, 13)] == [0, 0, 0, 0]
     assert substrings.query(odd).count() == len(ODD) and substrings.query(none).count() == 0
 
 
