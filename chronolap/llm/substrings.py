@@ -39,11 +39,11 @@ def windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     return out
 
 
-def passages(a: np.ndarray, b: np.ndarray, same: bool, least: int = LEAST, gap: int = GAP, share: float = 0.8) -> list[tuple[int, int]]:
-    """Token ranges of b that repeat a passage of a (of its own earlier text, if same)."""
+def passages(a: np.ndarray, b: np.ndarray, same: bool, least: int = LEAST, gap: int = GAP, share: float = 0.8, order: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Token ranges of b that repeat a passage of a (of its own earlier text, if same). order: that sorts a."""
     if len(a) < least or len(b) < least:
         return []
-    order = np.argsort(a, kind="stable")
+    order = np.argsort(a, kind="stable") if order is None else order
     s = a[order]
     p = np.minimum(np.searchsorted(s, b), len(s) - 1)
     where = order[p]
@@ -111,19 +111,25 @@ def repeats(docs: DataFrame) -> DataFrame:
     short = slim.select(F.col("doc_id").alias("small"), F.col("text").alias("ts"))
     long = slim.select(F.col("doc_id").alias("big"), F.col("text").alias("tl"))
     sent = pairs.withColumn("small", F.when(F.col("big") == F.col("a"), F.col("b")).otherwise(F.col("a"))).join(short, "small").join(long, "big")
-    ta, tb = (F.when(F.col("big") == F.col(x), F.col("tl")).otherwise(F.col("ts")).alias(f"t{x}") for x in "ab")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in words.parts(batches, "tb", 2 << 20):
-            a, b = words.Words(p.column(2)), words.Words(p.column(3))
-            out = []
-            for i, (x, y) in enumerate(zip(p.column(0).to_pylist(), p.column(1).to_pylist())):
-                sa, sb = (words.shingles(w.h[w.first[i] : w.first[i + 1]], SHINGLE) for w in (a, b))
-                out += [(y, s, e + SHINGLE - 1) for s, e in passages(sa, sb, x == y)]
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # rows come sorted by the longer text, so each is hashed about once
+        for p in words.parts(batches, "tl", 2 << 20):
+            x, y, longer = (p.column(i).to_pylist() for i in range(3))
+            at = {d: i for i, d in enumerate(longer) if d not in kept}
+            w = words.Words(p.column(4).take(pa.array(list(at.values()), pa.int64())))
+            for k, d in enumerate(at):
+                t = words.shingles(w.h[w.first[k] : w.first[k + 1]], SHINGLE)
+                kept[d] = t, np.argsort(t, kind="stable")
+            w, out = words.Words(p.column(3)), []
+            for i, (a, b, d) in enumerate(zip(x, y, longer)):
+                short, (t, order) = words.shingles(w.h[w.first[i] : w.first[i + 1]], SHINGLE), kept[d]
+                out += [(b, s, e + SHINGLE - 1) for s, e in (passages(t, short, a == b, order=order) if d == a else passages(short, t, False))]
+            kept = {longer[-1]: kept[longer[-1]]}
             d, s, e = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "s", "e"])
 
-    spans = sent.select("a", "b", ta, tb).mapInArrow(verify, "doc_id long, s int, e int").union(copies)
+    spans = sent.select("a", "b", "big", "ts", "tl").mapInArrow(verify, "doc_id long, s int, e int").union(copies)
     return spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x")).select("doc_id", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
 
 
