@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of an Arrow batch between the JVM and Python; long texts fill it before its rows do.
+ARROW_BYTES = 16 << 20
+
 
 def session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "chronolap", **conf: str) -> SparkSession:
     """A local session with the settings that every operator expects (UTC, AQE)."""
@@ -29,7 +32,8 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "chro
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, as a zip file."""
+    """Send this package to the executors once for each application, as a zip file; bounds Arrow batches by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
