@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from chronolap.llm import scratch, words
 
 ORDERS, SHALLOW, DEEP, DENSE, BLOCK = 32, 4, 6, 256, 512
+SMALL = 1 << 21  # edges that one task may end, 32 MB of them
 HEAVY = 1 << 21  # shingles of a block beyond which it is split, however few its documents
 _MULT = np.random.default_rng(7).integers(1, 2**62, ORDERS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = "doc_id long, n_shingles long, a long, b long, shallow array<long>, deep array<long>"
@@ -66,25 +67,55 @@ def _base(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _BASE)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def lowest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and the smallest node that each can reach."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return ids, ids[root]
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); the component is its smallest node.
 
-    Large-star and small-star rounds on written tables until nothing changes; no links reach the driver.
+    Large-star and small-star rounds on written tables until nothing changes or at most `small` edges are
+    left, by count; one task ends those. No links reach the driver.
     """
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if got:
+            ids, low = lowest(*(np.concatenate(x) for x in zip(*got)))
+            for i in range(0, len(ids), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 16)]), pa.array(low[i : i + (1 << 16)])], names=["node", "component"])
+
+    def few(now: DataFrame) -> DataFrame:
+        return scratch.write(now.repartition(1).mapInArrow(finish, "node long, component long"), "components")
+
     now, last = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
+    if now.count() <= small:
+        return few(now)
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         big = scratch.write(large.where("u <> v").distinct(), "large")
         low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        new = scratch.write(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        tiny = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
+        new = scratch.write(tiny.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.col("u") % 1000003)).first()
         scratch.drop(now, big)
         now = new
         if state == last:
             break
+        if state[0] <= small:
+            return few(now)
         last = state
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v"), F.col("v")).distinct())

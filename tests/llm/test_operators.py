@@ -141,6 +141,15 @@ def test_near(spark, docs, odd, none, k, percent):
     assert near.near_duplicates(none, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
+    e = [(i, i + 1) for i in range(40)] + [(90, 70), (70, 80), (60, 60), (70, 90)] + [(100 + i * 7 % 30, 130) for i in range(30)]
+    want = {i: 0 for i in range(41)} | {70: 70, 80: 70, 90: 70} | {100 + i: 100 for i in range(31)}
+    got = near.components(spark.createDataFrame(e, "a long, b long"), small).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert near.components(spark.createDataFrame([], "a long, b long"), small).count() == 0
+
+
 def test_language(docs, odd, none):
     got = {r.doc_id: r for r in langid.query(docs).collect()}
     held = [(r.lang, got[r.doc_id].lang_pred) for r in docs.collect() if got[r.doc_id].held_out]
