@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronolap.functions import text
 from chronolap.session import table
-from chronolap.streaming import batch
+from chronolap.streaming import batch, trackers
 
 _RUNS = """SELECT event_id AS id, concat('game', cast(user_id % 7 AS string)) AS game, concat('cat', cast(user_id % 3 AS string)) AS category,
   user_id AS session_id, {ms} AS started_at_ms, {day} AS day, event_type AS kind,
@@ -136,6 +136,7 @@ QUERIES |= {
     "monotone_gate": lambda s, d: batch.clock_gate(_relational("SELECT session_id, started_at_ms AS t_ms, id, last_ms AS value FROM runs")(s, d)),
     "smoother": lambda s, d: batch.smoother(_relational("SELECT session_id, started_at_ms AS t_ms, id, last_ms AS value FROM runs")(s, d)),
     "identity_gate": lambda s, d: batch.identity_gate(_relational("SELECT session_id, started_at_ms AS t_ms, id, CASE WHEN kind = 'error' THEN 'convicting' WHEN kind = 'purchase' THEN 'clear' ELSE 'silent' END AS verdict FROM runs")(s, d)),
+    "counter_fold": lambda s, d: trackers.attempt_counter(_relational("SELECT session_id, started_at_ms AS t_ms, id, 100 + count_if(kind = 'purchase') OVER (PARTITION BY session_id ORDER BY started_at_ms, id) AS value, kind = 'purchase' AS started FROM runs")(s, d)),
     "confirmed_reference": lambda s, d: batch.confirmed(_relational("SELECT session_id, started_at_ms AS t_ms, id, ls % 3 AS value FROM runs")(s, d)),
 }
 ORACLE |= {
