@@ -39,27 +39,52 @@ def windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     return out
 
 
-def passages(a: np.ndarray, b: np.ndarray, same: bool, least: int = LEAST, gap: int = GAP, share: float = 0.8, order: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Token ranges of b that repeat a passage of a (of its own earlier text, if same). order: that sorts a."""
-    if len(a) < least or len(b) < least:
-        return []
+def chains(a: np.ndarray, b: np.ndarray, same: bool, gap: int = GAP, order: np.ndarray | None = None) -> list[np.ndarray]:
+    """Places of b, rising, that follow one another on near diagonals of a, every occurrence of a token counted."""
     order = np.argsort(a, kind="stable") if order is None else order
     s = a[order]
-    p = np.minimum(np.searchsorted(s, b), len(s) - 1)
-    where = order[p]
-    hit = s[p] == b
+    lo = np.searchsorted(s, b)
+    n = np.searchsorted(s, b, side="right") - lo
+    at = np.repeat(np.arange(len(b)), n)
+    where = order[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
     if same:
-        hit &= where < np.arange(len(b))
-    at = np.flatnonzero(hit)
-    if len(at) < share * least:
+        at, where = at[where < at], where[where < at]
+    if not len(at):
         return []
-    step, back = np.diff(at), np.diff(where[at])
-    cut = np.flatnonzero((step > gap) | (back > 2 * gap) | (back < -2 * gap)) + 1
-    out = []
-    for r in np.split(at, cut):
+    # Points of one band of diagonals with gaps of at most `gap` are one segment; two bandings, half a band
+    # apart, share points, and segments that share one are one chain.
+    wide, segment = 4 * gap, []
+    for shift in (0, wide // 2):
+        band = (where - at + len(b) + shift) // wide
+        by = np.lexsort((at, band))
+        new = np.r_[True, (np.diff(band[by]) != 0) | (np.diff(at[by]) > gap)]
+        k = np.empty(len(at), np.int64)
+        k[by] = np.cumsum(new) - 1
+        segment.append(k)
+    top = np.arange(segment[0].max() + 1)
+    low = np.full(segment[1].max() + 1, len(top))
+    while True:  # the smallest first-banding segment that each can reach
+        np.minimum.at(low, segment[1], top[segment[0]])
+        new = top.copy()
+        np.minimum.at(new, segment[0], low[segment[1]])
+        if (new == top).all():
+            break
+        top = new
+    chain = top[segment[0]]
+    key = np.unique(chain * np.int64(len(b)) + at)
+    chain, at = key // len(b), key % len(b)
+    return np.split(at, np.flatnonzero((np.diff(chain) != 0) | (np.diff(at) > gap)) + 1)
+
+
+def passages(a: np.ndarray, b: np.ndarray, same: bool, least: int = LEAST, gap: int = GAP, share: float = 0.8, order: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Token ranges of b that repeat a passage of a (of its own earlier text, if same). order: that sorts a."""
+    if len(a) < least or len(b) < least:
+        return []
+    out = set()
+    for r in chains(a, b, same, gap, order):
         if len(r) >= share * least and r[-1] + 1 - r[0] >= least and len(r) >= share * (r[-1] + 1 - r[0]):
-            out.append((int(r[0]), int(r[-1]) + 1))
-    return out
+            out.add((int(r[0]), int(r[-1]) + 1))
+    return sorted(out)
 
 
 def repeats(docs: DataFrame) -> DataFrame:

@@ -235,3 +235,18 @@ def test_licenses(docs, odd, none):
         for text, name in marks.items():
             assert (text not in r.text) or name in got[r.doc_id]
     assert licenses.query(odd).count() == len(ODD) and licenses.query(none).count() == 0
+
+
+def test_passages_follow_every_occurrence():
+    import numpy as np
+
+    x = np.random.default_rng(1).permutation(5000).astype(np.uint64)
+    p, rest = x[:56], x[100:]
+    # the earlier text quotes 16 tokens of the passage before it has all of it
+    a = np.concatenate([rest[:30], p[:16], rest[30:300], p, rest[300:340]])
+    b = np.concatenate([rest[1000:1020], p, rest[1020:1100]])
+    assert substrings.passages(a, b, False) == [(20, 76)]
+    # one token of the middle occurs earlier too, and the same inside one text
+    c = np.concatenate([rest[:30], p[30:31], rest[30:200], p, rest[200:230], p])
+    assert substrings.passages(c, b, False) == [(20, 76)]
+    assert substrings.passages(c, c, True) == [(287, 343)]
