@@ -76,15 +76,26 @@ def chains(a: np.ndarray, b: np.ndarray, same: bool, gap: int = GAP, order: np.n
     return np.split(at, np.flatnonzero((np.diff(chain) != 0) | (np.diff(at) > gap)) + 1)
 
 
+def stretches(at: np.ndarray, least: int = LEAST, share: float = 0.8) -> list[tuple[int, int]]:
+    """Union of the stretches of at least `least` tokens, from a hit to a hit, in which at least that share are hits."""
+    g = np.arange(len(at)) - share * at
+    best = np.maximum.accumulate(g[::-1])  # rises from the last hit to the first
+    end = len(at) - 1 - np.searchsorted(best, g - (1 - share) - 1e-9)  # the last hit that a stretch from here can end on
+    out: list[tuple[int, int]] = []
+    for s, e in zip(at.tolist(), (at[end] + 1).tolist()):
+        if e - s >= least:
+            if out and s <= out[-1][1]:
+                out[-1] = out[-1][0], max(e, out[-1][1])
+            else:
+                out.append((s, e))
+    return out
+
+
 def passages(a: np.ndarray, b: np.ndarray, same: bool, least: int = LEAST, gap: int = GAP, share: float = 0.8, order: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Token ranges of b that repeat a passage of a (of its own earlier text, if same). order: that sorts a."""
     if len(a) < least or len(b) < least:
         return []
-    out = set()
-    for r in chains(a, b, same, gap, order):
-        if len(r) >= share * least and r[-1] + 1 - r[0] >= least and len(r) >= share * (r[-1] + 1 - r[0]):
-            out.add((int(r[0]), int(r[-1]) + 1))
-    return sorted(out)
+    return sorted({x for r in chains(a, b, same, gap, order) if len(r) >= share * least for x in stretches(r, least, share)})
 
 
 def repeats(docs: DataFrame) -> DataFrame:

@@ -250,3 +250,17 @@ def test_passages_follow_every_occurrence():
     c = np.concatenate([rest[:30], p[30:31], rest[30:200], p, rest[200:230], p])
     assert substrings.passages(c, b, False) == [(20, 76)]
     assert substrings.passages(c, c, True) == [(287, 343)]
+
+
+def test_passages_beside_loosely_similar_text():
+    import numpy as np
+
+    x = np.random.default_rng(2).permutation(5000).astype(np.uint64)
+    a = x[:300].copy()
+    b = a.copy()
+    b[np.arange(300) % 10 >= 5] = x[1000:1150]
+    b[:56] = a[:56]
+    assert substrings.passages(a, b, False) == [(0, 95)]  # 56 + 20 of 95
+    # the loose part alone is no passage, on either side of an exact one
+    assert substrings.passages(a[56:], b[56:], False) == []
+    assert substrings.passages(a[::-1], b[::-1], False) == [(205, 300)]
