@@ -2,8 +2,11 @@
 
 Tokens are shingles of SHINGLE words. For each of HASHES functions a Cartesian tree, cut where fewer
 than LEAST tokens remain, gives the compact windows: all passages inside [lo, hi) that contain the
-centre share its min-hash. Windows of equal value link to the earliest one and to the one before;
-document pairs with at least ENOUGH linked windows are verified on the texts: a passage of the later
+centre share its min-hash. Windows of equal value and equal tokens are one class: all link to its earliest,
+which stands for the class beside others. Two classes of equal value are candidates if NEED of the tokens
+around one centre are around the other; a link has that many, as it holds a link of fewer than 2 * LEAST
+tokens. Each class links to its earliest and its last earlier candidate, then, unless what was found
+covers its whole window, to all of them. Linked documents are verified on the texts: a passage of the later
 document counts when at least 0.8 of LEAST or more of its tokens in a row (gaps of at most GAP) occur
 within a stretch of like length of the earlier one. A text equal to an earlier one, if it has LEAST
 tokens, is such a passage as a whole. Earlier: the smaller doc_id, then the place. Null
@@ -22,8 +25,12 @@ from pyspark.sql import functions as F
 
 from chronolap.llm import blobs, scratch, words
 
-SHINGLE, LEAST, HASHES, ENOUGH, GAP = 5, 46, 4, 1, 12
-_RECORD = np.dtype([("v", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+SHINGLE, LEAST, HASHES, GAP = 5, 46, 4, 12
+REACH, DRIFT = LEAST - 1, 2 * GAP  # tokens on either side of a centre that are compared, and those more of the earlier text
+NEED = LEAST - (2 * LEAST - 1) // 5  # hits among them, if a fifth of a link of at most 2 * LEAST - 1 tokens are none
+_RECORD = np.dtype([("v", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("c", "<i4"), ("hi", "<i4")])
+_NEAR = np.dtype([("v", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("c", "<i4"), ("hi", "<i4"), ("t", "<u2", (2 * (REACH + DRIFT) + 1,))])
+_OPEN = np.dtype([("v", "<u8"), ("doc", "<i8"), ("c", "<i4")])
 _SEEDS = np.random.default_rng(11).integers(1, 2**62, HASHES, dtype=np.uint64)
 
 
@@ -98,6 +105,42 @@ def passages(a: np.ndarray, b: np.ndarray, same: bool, least: int = LEAST, gap:
     return sorted({x for r in chains(a, b, same, gap, order) if len(r) >= share * least for x in stretches(r, least, share)})
 
 
+def contents(s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the tokens s[lo:hi]."""
+    power, inverse = words._powers(len(s) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(s * power[: len(s)])]
+    return words.mix((sums[hi] - sums[lo]) * inverse[lo] + words.mix((hi - lo).astype(np.uint64)))
+
+
+def around(s: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """16 bits of each token around the centres, 0 beyond the text."""
+    far = REACH + DRIFT
+    t = np.zeros(len(s) + 2 * far, np.uint16)
+    t[far : far + len(s)] = np.maximum(words.mix(s) >> np.uint64(48), np.uint64(1))
+    return np.lib.stride_tricks.sliding_window_view(t, 2 * far + 1)[c]
+
+
+def candidates(t: np.ndarray, later: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of the rows `later` with the rows before it around whose centre NEED of its tokens are, if there are any."""
+    mine = t[:, DRIFT:-DRIFT]
+    seen = np.sort(t, axis=1)
+    row, col = np.nonzero((seen > 0) & np.c_[np.ones(len(t), bool), seen[:, 1:] != seen[:, :-1]])
+    token = seen[row, col]
+    order = np.lexsort((row, token))
+    row = row[order]
+    n = np.bincount(token, minlength=1 << 16)
+    first = np.cumsum(n) - n
+    n[0] = 0
+    later = later[(n[mine[later]] > 1).sum(axis=1) >= NEED]
+    for j in later.tolist():
+        x, times = np.unique(mine[j], return_counts=True)
+        x, times = x[n[x] > 1], times[n[x] > 1]
+        at = np.concatenate([row[first[v] : first[v] + n[v]] for v in x.tolist()])
+        hits = np.bincount(at, np.repeat(times, n[x]), minlength=len(t))[:j]
+        if len(i := np.flatnonzero(hits >= NEED)):
+            yield j, i
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id and the word ranges (starts, ends) that repeat an earlier passage, for documents that have any."""
     spark = docs.sparkSession
@@ -114,39 +157,90 @@ def repeats(docs: DataFrame) -> DataFrame:
                     h = words.mix(s ^ seed)
                     x = np.array(windows(h), dtype=np.int64)
                     r = np.empty(len(x), _RECORD)
-                    r["v"], r["doc"], r["lo"], r["hi"] = words.mix(h[x[:, 1]] + seed), doc, x[:, 0], x[:, 2]
+                    r["v"], r["doc"], r["lo"], r["c"], r["hi"] = words.mix(h[x[:, 1]] + seed), doc, x[:, 0], x[:, 1], x[:, 2]
+                    r["k"] = contents(s, x[:, 0], x[:, 2])
                     rows.append(r)
             if rows:
                 yield from blobs.pack(np.concatenate(rows), "v", buckets)
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = blobs.unpack(batches, _RECORD)
-        r = r[np.lexsort((r["lo"], r["doc"], r["v"]))]
+        r = r[np.lexsort((r["lo"], r["doc"], r["k"], r["v"]))]
         if not len(r):
             return
-        first = np.r_[True, r["v"][1:] != r["v"][:-1]]
+        first = np.r_[True, (r["v"][1:] != r["v"][:-1]) | (r["k"][1:] != r["k"][:-1])]
         head = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-        later = np.flatnonzero(~first)
-        pairs = np.concatenate([np.stack([r["doc"][head[later]], r["doc"][later]], 1), np.stack([r["doc"][later - 1], r["doc"][later]], 1)])
-        pairs, n = np.unique(pairs, axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+        pairs = np.unique(np.stack([r["doc"][head[~first]], r["doc"][~first]], 1), axis=0)
+        none = pa.nulls(len(pairs), pa.int64()), *[pa.nulls(len(pairs), pa.int32())] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *none], names=["a", "b", "v", "lo", "c", "hi"])
+        r = r[first]
+        _, n = np.unique(r["v"], return_counts=True)
+        r = r[np.repeat(n, n) > 1]
+        for at in range(0, len(r), 1 << 16):
+            x = r[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), *(pa.array(v.copy()) for v in (x["doc"], x["v"].copy().view(np.int64), x["lo"], x["c"], x["hi"]))], names=["a", "b", "v", "lo", "c", "hi"])
 
-    slim = docs.select("doc_id", "text")
-    found = slim.mapInArrow(find, blobs.SCHEMA).repartition("bucket").mapInArrow(join, "a long, b long, n long")
-    # Equal texts are one class, whose first document stands for all; the others repeat it as a whole.
-    n_words = F.expr(r"size(filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> ''))")
-    texts = scratch.write(slim.where("text is not null").select("doc_id", F.md5("text").alias("k"), F.octet_length("text").alias("size"), n_words.alias("n")), "texts")
-    info = texts.join(texts.groupBy("k").agg(F.min("doc_id").alias("rep")), "k").select("doc_id", "rep", "size", "n")
-    early = info.select(F.col("doc_id").alias("a"), "rep", F.col("size").alias("sa"))
-    late = info.where("doc_id = rep").select(F.col("doc_id").alias("b"), F.col("size").alias("sb"))
-    linked = found.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= ENOUGH).join(early, "a").join(late, "b")
-    # The shorter text travels to the longer one, so a very long document is not copied for each of its pairs.
-    big = F.when(F.col("sa") >= F.col("sb"), F.col("rep")).otherwise(F.col("b"))
-    pairs = scratch.write(linked.select(F.col("rep").alias("a"), "b", big.alias("big")).distinct(), "pairs")
-    copies = info.where(f"doc_id <> rep and n >= {LEAST + SHINGLE - 1}").select("doc_id", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
-    short = slim.select(F.col("doc_id").alias("small"), F.col("text").alias("ts"))
-    long = slim.select(F.col("doc_id").alias("big"), F.col("text").alias("tl"))
-    sent = pairs.withColumn("small", F.when(F.col("big") == F.col("a"), F.col("b")).otherwise(F.col("a"))).join(short, "small").join(long, "big")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in words.parts(batches, "text", 1 << 20):
+            w, rows = words.Words(p.column(1)), []
+            for i, (doc, x) in enumerate(zip(p.column(0).to_pylist(), p.column(2).to_pylist())):
+                s = words.shingles(w.h[w.first[i] : w.first[i + 1]], SHINGLE)
+                x = [y for y in x if y["hi"] <= len(s)]
+                r = np.zeros(len(x), _NEAR)
+                r["v"] = np.array([y["v"] for y in x], np.int64).view(np.uint64)
+                r["doc"], r["lo"], r["c"], r["hi"] = doc, [y["lo"] for y in x], [y["c"] for y in x], [y["hi"] for y in x]
+                r["t"] = around(s, r["c"])
+                rows.append(r)
+            yield from blobs.pack(np.concatenate(rows), "v", buckets)
+
+    def groups(r: np.ndarray) -> Iterator[np.ndarray]:
+        by = np.lexsort((r["c"], r["doc"], r["v"]))
+        v = r["v"][by]
+        for g in np.split(by, np.flatnonzero(v[1:] != v[:-1]) + 1):
+            if len(g) > 1:
+                yield r[g]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The earliest and the last earlier candidate of each class, and those that have more."""
+        pairs, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, _NEAR)[["doc", "v", "lo", "c", "hi"]]]
+        for g in groups(blobs.unpack(batches, _NEAR)):
+            doc, found = g["doc"], list(candidates(g["t"], np.arange(1, len(g))))
+            if found:
+                pairs.append(np.unique([(doc[x], doc[j]) for j, i in found for x in (i[0], i[-1])], axis=0))
+                more.append(g[[j for j, i in found if len(i) > 2]][["doc", "v", "lo", "c", "hi"]])
+        pairs, more = np.unique(np.concatenate(pairs), axis=0), np.concatenate(more)
+        none = pa.nulls(len(pairs), pa.int64()), *[pa.nulls(len(pairs), pa.int32())] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *none], names=["a", "b", "v", "lo", "c", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array(more["doc"].copy()), pa.array(more["v"].copy().view(np.int64)), *(pa.array(more[x].copy()) for x in ("lo", "c", "hi"))], names=["a", "b", "v", "lo", "c", "hi"])
+
+    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, x, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
+                covered: list[list[int]] = []
+                for y in sorted((y["s"], y["e"]) for y in spans or []):
+                    if covered and y[0] <= covered[-1][1]:
+                        covered[-1][1] = max(covered[-1][1], y[1])
+                    else:
+                        covered.append(list(y))
+                out += [(y["v"] % 2**64, doc, y["c"]) for y in x if not any(s <= y["lo"] and y["hi"] + SHINGLE - 1 <= e for s, e in covered)]
+            yield from blobs.pack(np.array(out, _OPEN), "v", buckets)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All earlier candidates of the open windows."""
+        got, want = [], []
+        for b in batches:
+            for x, is_open in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                (want if is_open else got).append(np.frombuffer(x, _OPEN if is_open else _NEAR))
+        if not got or not want:
+            return
+        want = np.unique(np.concatenate(want))
+        r = np.concatenate(got)
+        for g in groups(r[np.isin(r["v"], want["v"])]):
+            now = np.flatnonzero(np.isin(g[["doc", "c"]].copy().astype([("doc", "<i8"), ("c", "<i8")]).view("V16"), want[want["v"] == g["v"][0]][["doc", "c"]].copy().astype([("doc", "<i8"), ("c", "<i8")]).view("V16")))
+            for j, i in candidates(g["t"], now):
+                a = np.unique(g["doc"][i])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.full(len(a), g["doc"][j]))], names=["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # rows come sorted by the longer text, so each is hashed about once
@@ -165,7 +259,43 @@ def repeats(docs: DataFrame) -> DataFrame:
             d, s, e = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "s", "e"])
 
-    spans = sent.select("a", "b", "big", "ts", "tl").mapInArrow(verify, "doc_id long, s int, e int").union(copies)
+    slim = docs.select("doc_id", "text")
+    # Equal texts are one class, whose first document stands for all; the others repeat it as a whole.
+    n_words = F.expr(r"size(filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> ''))")
+    texts = scratch.write(slim.where("text is not null").select("doc_id", F.md5("text").alias("k"), F.octet_length("text").alias("size"), n_words.alias("n")), "texts")
+    info = texts.join(texts.groupBy("k").agg(F.min("doc_id").alias("rep")), "k").select("doc_id", "rep", "size", "n")
+    early = info.select(F.col("doc_id").alias("a"), "rep", F.col("size").alias("sa"))
+    late = info.where("doc_id = rep").select(F.col("doc_id").alias("b"), F.col("size").alias("sb"))
+    copies = info.where(f"doc_id <> rep and n >= {LEAST + SHINGLE - 1}").select("doc_id", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
+    short = slim.select(F.col("doc_id").alias("small"), F.col("text").alias("ts"))
+    long = slim.select(F.col("doc_id").alias("big"), F.col("text").alias("tl"))
+
+    def sized(linked: DataFrame) -> DataFrame:
+        # The shorter text travels to the longer one, so a very long document is not copied for each of its pairs.
+        big = F.when(F.col("sa") >= F.col("sb"), F.col("rep")).otherwise(F.col("b"))
+        return linked.distinct().join(early, "a").join(late, "b").select(F.col("rep").alias("a"), "b", big.alias("big")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sent = pairs.withColumn("small", F.when(F.col("big") == F.col("a"), F.col("b")).otherwise(F.col("a"))).join(short, "small").join(long, "big")
+        return scratch.write(sent.select("a", "b", "big", "ts", "tl").mapInArrow(verify, "doc_id long, s int, e int").distinct(), "spans")
+
+    rows = "a long, b long, v long, lo int, c int, hi int"
+    member = F.collect_list(F.struct("v", "lo", "c", "hi")).alias("x")
+    found = scratch.write(slim.mapInArrow(find, blobs.SCHEMA).repartition("bucket").mapInArrow(classes, rows), "classes")
+    reps = found.where("a is null").groupBy(F.col("b").alias("doc_id")).agg(member)
+    beside = scratch.write(slim.join(reps, "doc_id").select("doc_id", "text", "x").mapInArrow(near, blobs.SCHEMA), "near")
+    linked = scratch.write(beside.repartition("bucket").mapInArrow(link, rows), "linked")
+    pairs = scratch.write(sized(found.union(linked).where("a is not null").select("a", "b")), "pairs")
+    spans = verified(pairs)
+    # An equal text later on is removed as a whole, so only first ones are open.
+    more = linked.where("a is null").join(late.select("b"), "b", "left_semi").groupBy(F.col("b").alias("doc_id")).agg(member)
+    more = more.join(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "doc_id", "left")
+    open_ = scratch.write(more.select("doc_id", "x", "spans").mapInArrow(still_open, blobs.SCHEMA), "open")
+    if open_.limit(1).count():
+        both = beside.withColumn("is_open", F.lit(False)).union(open_.withColumn("is_open", F.lit(True)))
+        others = sized(both.repartition("bucket").mapInArrow(rest, "a long, b long"))
+        spans = spans.union(verified(scratch.write(others.join(pairs, ["a", "b"], "left_anti"), "more_pairs")))
+    spans = spans.union(copies)
     return spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x")).select("doc_id", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
 
 

@@ -264,3 +264,17 @@ def test_passages_beside_loosely_similar_text():
     # the loose part alone is no passage, on either side of an exact one
     assert substrings.passages(a[56:], b[56:], False) == []
     assert substrings.passages(a[::-1], b[::-1], False) == [(205, 300)]
+
+
+def test_substrings_past_unrelated_windows(spark):
+    import random
+
+    r = random.Random(0)
+    text = lambda n: [f"{r.choice('abcdefgh')}{r.randrange(40000)}" for _ in range(n)]
+    shared = text(50)
+    # every five words of the passage also stand alone in unrelated documents before and between
+    alone = lambda: [x for k in range(46) for x in [*shared[k : k + 5], *text(60)]]
+    parts = [*((i, alone()) for i in (*range(10), *range(11, 30))), (10, text(90) + shared + text(20)), (30, text(50) + shared + text(80)), (31, text(40))]
+    got = {x.doc_id: x for x in substrings.query(spark.createDataFrame([(i, " ".join(t)) for i, t in parts], "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in (*range(30), 31)] == [0] * 31
+    assert got[30].spans == [[50, 100]]
