@@ -1,7 +1,7 @@
 """Operator 4, language ID: the family first, then one-versus-one linear SVMs inside it.
 
-Learns from at most SAMPLE labelled texts of each language (a documented bound; those with the smallest
-hash of the text). Families are languages whose mean profiles are alike. Features are hashed byte
+Learns from at most SAMPLE distinct labelled texts of each language (a documented bound; those with the
+smallest hash of the text, however large the table is). Families are languages whose mean profiles are alike. Features are hashed byte
 n-grams of whole lower-cased texts. A text that is null or has no letter is `und` with score 0; without
 any labelled text every row is `und`. Ties go to the first language by name. Only text is an input.
 """
@@ -83,13 +83,26 @@ def predict(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 
 
 def sample(docs: DataFrame, per: int) -> list:
-    """At most `per` labelled rows of each language, those with the smallest hash of the text."""
-    t = docs.where("text is not null and lang is not null and crc32(cast(doc_id as string)) % 4 <> 2").withColumn("h", F.xxhash64("text"))
-    n = t.count()
-    cut = int(-(2**63) + min(1.0, 40.0 * per / max(1, n)) * (2**64 - 1)) if n > 40 * per else 2**63 - 1
-    pick = t.where((F.col("h") <= F.lit(cut))).select("doc_id", "lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per)
-    ids = [r[0] for r in pick.select("doc_id").collect()]  # at most `per` for each language
-    return t.where(F.col("doc_id").isin(ids)).select("text", "lang").collect() if ids else []
+    """At most `per` labelled rows of each language, of distinct texts, those with the smallest hash of the text."""
+    t = docs.where("text is not null and lang is not null and crc32(cast(doc_id as string)) % 4 <> 2").select("lang", F.xxhash64("text").alias("h"), "doc_id", "text")
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None  # of each language at most `per` hashes, with the smallest doc_id of each
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            now = (now if kept is None else pa.concat_tables([kept, now])).group_by(["lang", "h"]).aggregate([("doc_id", "min")])
+            lang, h = now.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(), now.column("h").to_numpy()
+            by = np.lexsort((h, lang))
+            n = np.bincount(lang)
+            rank = np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n)
+            kept = now.take(pa.array(by[rank < per])).rename_columns({"doc_id_min": "doc_id"}).select(["lang", "h", "doc_id"])
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
+
+    few = t.select("lang", "h", "doc_id").mapInArrow(smallest, "lang string, h long, doc_id long")
+    pick = few.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per)
+    got = t.join(F.broadcast(pick.drop("r")), ["lang", "h", "doc_id"]).select("text", "lang").collect()  # at most `per` for each language
+    return list({(r[0], r[1]) for r in got})
 
 
 def identify(docs: DataFrame, per: int = SAMPLE) -> DataFrame:

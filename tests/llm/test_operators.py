@@ -278,3 +278,14 @@ def test_substrings_past_unrelated_windows(spark):
     got = {x.doc_id: x for x in substrings.query(spark.createDataFrame([(i, " ".join(t)) for i, t in parts], "doc_id long, text string")).collect()}
     assert [got[i].n_removed for i in (*range(30), 31)] == [0] * 31
     assert got[30].spans == [[50, 100]]
+
+
+def test_language_of_few_texts_in_a_large_table(spark):
+    rows = [(i, f"the common text number {i} of many", "xx") for i in range(2000)] + [(5000 + i, f"zzq qzz vvk {i}", "yy") for i in range(12)]
+    rows += [(6000 + i, "wij wij jiw", "zz") for i in range(60)] + [(7000 + i, f"jiw wij jjw {i}", "zz") for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = langid.sample(d, 10)
+    want = {(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 4 != 2 and k != "xx"}
+    assert len(want) > 10 and {x for x in map(tuple, got) if x[1] != "xx"} == want
+    assert len(got) == len(set(got)) == len(want) + 10
+    assert langid.sample(d.limit(0), 10) == []
