@@ -120,25 +120,43 @@ def around(s: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(t, 2 * far + 1)[c]
 
 
-def candidates(t: np.ndarray, later: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each of the rows `later` with the rows before it around whose centre NEED of its tokens are, if there are any."""
+def candidates(t: np.ndarray, later: np.ndarray, ends: bool = False) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Each of the rows `later` with the rows before it around whose centre NEED of its tokens are, and whether that is all.
+
+    With ends, the earliest and the last of them will do.
+    """
     mine = t[:, DRIFT:-DRIFT]
     seen = np.sort(t, axis=1)
-    row, col = np.nonzero((seen > 0) & np.c_[np.ones(len(t), bool), seen[:, 1:] != seen[:, :-1]])
+    seen[:, 1:][seen[:, 1:] == seen[:, :-1]] = 0
+    row, col = np.nonzero(seen)
     token = seen[row, col]
-    order = np.lexsort((row, token))
-    row = row[order]
+    order = np.argsort(token, kind="stable")
+    row = row[order].astype(np.int32)
     n = np.bincount(token, minlength=1 << 16)
     first = np.cumsum(n) - n
-    n[0] = 0
-    later = later[(n[mine[later]] > 1).sum(axis=1) >= NEED]
-    for j in later.tolist():
-        x, times = np.unique(mine[j], return_counts=True)
-        x, times = x[n[x] > 1], times[n[x] > 1]
-        at = np.concatenate([row[first[v] : first[v] + n[v]] for v in x.tolist()])
-        hits = np.bincount(at, np.repeat(times, n[x]), minlength=len(t))[:j]
-        if len(i := np.flatnonzero(hits >= NEED)):
-            yield j, i
+    del col, token, order
+    times = np.zeros(1 << 16, np.int32)
+    for j in later[(n[mine[later]] > 1).sum(axis=1) >= NEED].tolist():
+        x, k = np.unique(mine[j][mine[j] > 0], return_counts=True)
+        times[x] = k
+        near = lambda i: i[times[seen[i]].sum(axis=1) >= NEED]  # noqa: B023, E731
+        found, whole = np.zeros(0, np.int64), False
+        if ends and j > 1024:
+            low, high = near(np.arange(256)), near(np.arange(j - 256, j))
+            if len(low) and len(high):
+                found = np.array([low[0], high[-1]])
+        if not len(found):
+            # a row with NEED of the tokens has one of any len - NEED + 1 of them, so the most frequent are left out
+            by = np.argsort(n[x], kind="stable")
+            rare = x[by[: np.searchsorted(np.cumsum(k[by]), k.sum() - NEED + 1) + 1]]
+            hit = np.zeros(len(t), bool)
+            for v in rare[n[rare] > 1].tolist():
+                hit[row[first[v] : first[v] + n[v]]] = True
+            i = np.flatnonzero(hit[:j])
+            found, whole = np.concatenate([near(i[at : at + 4096]) for at in range(0, len(i), 4096)] or [i]), True
+        times[x] = 0
+        if len(found):
+            yield j, found, whole
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -204,10 +222,14 @@ def repeats(docs: DataFrame) -> DataFrame:
         """The earliest and the last earlier candidate of each class, and those that have more."""
         pairs, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, _NEAR)[["doc", "v", "lo", "c", "hi"]]]
         for g in groups(blobs.unpack(batches, _NEAR)):
-            doc, found = g["doc"], list(candidates(g["t"], np.arange(1, len(g))))
-            if found:
-                pairs.append(np.unique([(doc[x], doc[j]) for j, i in found for x in (i[0], i[-1])], axis=0))
-                more.append(g[[j for j, i in found if len(i) > 2]][["doc", "v", "lo", "c", "hi"]])
+            doc, ends, others = g["doc"], [], []
+            for j, i, whole in candidates(g["t"], np.arange(1, len(g)), True):
+                ends += [(doc[i[0]], doc[j]), (doc[i[-1]], doc[j])]
+                if len(i) > 2 or not whole:
+                    others.append(j)
+            if ends:
+                pairs.append(np.unique(ends, axis=0))
+                more.append(g[others][["doc", "v", "lo", "c", "hi"]])
         pairs, more = np.unique(np.concatenate(pairs), axis=0), np.concatenate(more)
         none = pa.nulls(len(pairs), pa.int64()), *[pa.nulls(len(pairs), pa.int32())] * 3
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *none], names=["a", "b", "v", "lo", "c", "hi"])
@@ -238,7 +260,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         r = np.concatenate(got)
         for g in groups(r[np.isin(r["v"], want["v"])]):
             now = np.flatnonzero(np.isin(g[["doc", "c"]].copy().astype([("doc", "<i8"), ("c", "<i8")]).view("V16"), want[want["v"] == g["v"][0]][["doc", "c"]].copy().astype([("doc", "<i8"), ("c", "<i8")]).view("V16")))
-            for j, i in candidates(g["t"], now):
+            for j, i, _ in candidates(g["t"], now):
                 a = np.unique(g["doc"][i])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.full(len(a), g["doc"][j]))], names=["a", "b"])
 
