@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +83,28 @@ def patience(a: list[str], b: list[str], lo: int = 0, at: int = 0) -> list[tuple
     return sorted(found)
 
 
+def stretches(t: list[str], w: list[str], need: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the text, from a template word on, that share `need` words with the template: the shortest, as long as it, twice as long."""
+    want, have, shared, r = Counter(w), Counter(), 0, 0
+    hits = [i for i, x in enumerate(t) if x in want]
+    for n, p in enumerate(hits):
+        while r < len(hits) and hits[r] < p + 2 * len(w):
+            x = t[hits[r]]
+            have[x] += 1
+            shared += have[x] <= want[x]
+            r += 1
+        if shared >= need:
+            part, k, m = Counter(), 0, n
+            while k < need:
+                part[t[hits[m]]] += 1
+                k += part[t[hits[m]]] <= want[t[hits[m]]]
+                m += 1
+            for end in sorted({hits[m - 1] + 1, p + len(w), p + 2 * len(w)}):
+                yield p, min(end, len(t))
+        shared -= have[t[p]] <= want[t[p]]
+        have[t[p]] -= 1
+
+
 def scan(text: str | None, templates: dict[str, list[str]], share: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, end word) of each template found."""
     t = tokens(text or "")
@@ -90,14 +113,13 @@ def scan(text: str | None, templates: dict[str, list[str]], share: float = COVER
     for name, w in templates.items():
         if not w or sum(x in have for x in w) < share * len(w):
             continue
-        rare = min(set(w) & have, key=lambda x: (t.count(x), x))
         best = (0.0, 0, 0)
-        for p in (i for i, x in enumerate(t) if x == rare):  # a stretch around each place of the rarest shared word
-            lo = max(0, p - 2 * len(w))
-            pairs = patience(t[lo : p + 2 * len(w)], w, lo)
-            pairs = [x for x in pairs if abs(x[0] - x[1] - (p - w.index(rare))) <= len(w)]
+        for lo, end in stretches(t, w, ceil(share * len(w) - 1e-9)):
+            pairs = patience(t[lo:end], w, lo)
             if pairs and len(pairs) / len(w) > best[0]:
                 best = (len(pairs) / len(w), pairs[0][0], pairs[-1][0] + 1)
+            if best[0] == 1:
+                break
         if best[0] >= share:
             out.append((name, *best))
     return out

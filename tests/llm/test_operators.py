@@ -289,3 +289,13 @@ def test_language_of_few_texts_in_a_large_table(spark):
     assert len(want) > 10 and {x for x in map(tuple, got) if x[1] != "xx"} == want
     assert len(got) == len(set(got)) == len(want) + 10
     assert langid.sample(d.limit(0), 10) == []
+
+
+def test_licenses_changed_or_repeated():
+    t = {k: licenses.tokens(v) for k, v in licenses.TEMPLATES.items()}
+    # the text's rarest template word stands elsewhere
+    text = "Distributed under the MIT License. " + "other words " * 30 + "it was released " + "more words " * 30 + "Distributed under the MIT License."
+    assert [x[0] for x in licenses.scan(text, t)] == ["MIT"]
+    for k, v in licenses.TEMPLATES.items():
+        assert [x[0] for x in licenses.scan(f"some words {v} {v} {v} and after it", t)] == [k]
+    assert licenses.scan("the license under which the work was released is not the one of mit", t) == []
