@@ -3,7 +3,7 @@
 Words are lower-cased runs of letters, digits and dots. Anchors are words unique to both sides; the
 longest increasing subsequence of their places is kept, and the gaps between are aligned the same way.
 Coverage is the share of template words aligned inside the best stretch of the text. A template is
-reported at COVERAGE or more; a text without at least that share of a template's words is not aligned,
+reported at COVERAGE or more, if its telling words are among those aligned; a text without at least that share of a template's words is not aligned,
 as it cannot reach it. Null, empty and blank texts give an empty list; ties go to the earlier template.
 """
 
@@ -30,6 +30,8 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Words that tell a licence from those with a like notice; a stretch without all of them is not that notice.
+TELLING = {"Apache-2.0": {"apache", "2.0"}, "MIT": {"mit"}, "GPL-3.0": {"gnu", "general", "3"}, "CC-BY-NC-4.0": {"by-nc", "4.0"}, "MPL-2.0": {"mozilla", "2.0"}}
 _TOKEN = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -113,10 +115,10 @@ def scan(text: str | None, templates: dict[str, list[str]], share: float = COVER
     for name, w in templates.items():
         if not w or sum(x in have for x in w) < share * len(w):
             continue
-        best = (0.0, 0, 0)
+        best, telling = (0.0, 0, 0), TELLING.get(name, set()) & set(w)
         for lo, end in stretches(t, w, ceil(share * len(w) - 1e-9)):
             pairs = patience(t[lo:end], w, lo)
-            if pairs and len(pairs) / len(w) > best[0]:
+            if pairs and len(pairs) / len(w) > best[0] and telling <= {w[y] for _, y in pairs}:
                 best = (len(pairs) / len(w), pairs[0][0], pairs[-1][0] + 1)
             if best[0] == 1:
                 break

@@ -299,3 +299,10 @@ def test_licenses_changed_or_repeated():
     for k, v in licenses.TEMPLATES.items():
         assert [x[0] for x in licenses.scan(f"some words {v} {v} {v} and after it", t)] == [k]
     assert licenses.scan("the license under which the work was released is not the one of mit", t) == []
+
+
+def test_licenses_need_their_telling_words():
+    t = {k: licenses.tokens(v) for k, v in licenses.TEMPLATES.items()}
+    for x in ("Licensed under CC BY 4.0.", "Released under the BSD License.", "Licensed under the Apache License, Version 1.1."):
+        assert licenses.scan(x, t) == []
+    assert [x[0] for x in licenses.scan("Licensed under CC BY 4.0. Licenced under CC BY-NC 4.0.", t)] == ["CC-BY-NC-4.0"]
