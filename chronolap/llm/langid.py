@@ -107,7 +107,11 @@ def sample(docs: DataFrame, per: int) -> list:
 
 def identify(docs: DataFrame, per: int = SAMPLE) -> DataFrame:
     """Every row and column, with lang_pred and score (which replace columns of those names)."""
-    docs = docs.drop("lang_pred", "score")
+    return lettered(docs.drop("lang_pred", "score"), per).drop("_letter")
+
+
+def lettered(docs: DataFrame, per: int) -> DataFrame:
+    """The rows with lang_pred, score and whether the text has a letter."""
     got = sorted((r[0], r[1]) for r in sample(docs, per))
     model = train(features(pa.array([g[0] for g in got], pa.string())), [g[1] for g in got]) if got else None
     if model:
@@ -120,9 +124,9 @@ def identify(docs: DataFrame, per: int = SAMPLE) -> DataFrame:
             texts = column.to_pylist()
             letter = np.array([bool(t and _LETTER.search(t)) for t in texts])
             names, score = predict(model, features(column)) if model else (["und"] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k if ok else "und" for k, ok in zip(names, letter)]), pa.array(np.where(letter, score, 0.0).astype(np.float64))], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k if ok else "und" for k, ok in zip(names, letter)]), pa.array(np.where(letter, score, 0.0).astype(np.float64)), pa.array(letter)], names=[*b.schema.names, "lang_pred", "score", "_letter"])
 
-    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("_letter", F.lit(True)).schema
     return docs.mapInArrow(run, schema)
 
 
@@ -131,5 +135,5 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents with a language; those that are `und` (null, or without a letter) go."""
-    return identify(docs).where("lang_pred <> 'und'").select(*docs.columns)
+    """The documents with a language; null texts and those without a letter go, and nothing else if no language could be learned."""
+    return lettered(docs.drop("lang_pred", "score"), SAMPLE).where("_letter").select(*docs.columns)

@@ -216,6 +216,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The documents that stand first in their group, with their columns."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents that stand first in their group, with their columns; those without a doc_id stay, compared with none."""
+    named = docs.where("doc_id is not null")
+    kept = near_duplicates(named).where("kept").select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))

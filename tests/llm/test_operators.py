@@ -306,3 +306,10 @@ def test_licenses_need_their_telling_words():
     for x in ("Licensed under CC BY 4.0.", "Released under the BSD License.", "Licensed under the Apache License, Version 1.1."):
         assert licenses.scan(x, t) == []
     assert [x[0] for x in licenses.scan("Licensed under CC BY 4.0. Licenced under CC BY-NC 4.0.", t)] == ["CC-BY-NC-4.0"]
+
+
+def test_stages_keep_rows_without_id_or_label(spark):
+    d = spark.createDataFrame([(1, "one two three four five six", None), (2, "one two three four five six", None), (None, "a clean text of its own", None), (3, None, None), (4, "12 34", None)], "doc_id long, text string, lang string")
+    assert sorted(r.text for r in langid.stage(d).collect()) == sorted(["one two three four five six"] * 2 + ["a clean text of its own"])
+    assert sorted(((r.doc_id or 0), r.text) for r in near.stage(d.where("text is not null")).collect()) == [(0, "a clean text of its own"), (1, "one two three four five six"), (4, "12 34")]
+    assert near.stage(d).columns == d.columns
