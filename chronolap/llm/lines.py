@@ -2,11 +2,15 @@
 
 Lines are parts between line feeds; a line's set holds its lower-cased (A-Z) words. A line goes when an
 earlier line (smaller doc_id, then place) has a similarity of 0.8 or more; lines without words stay.
-Tokens are ordered by rarity: those outside the HEAD most frequent first, by hash, then the others from
-rare to frequent, so what is broadcast has a fixed bound. Prefix, length and positional filters and a
-128-bit parity sketch (each differing token flips one bit) leave candidates, verified on whole sets.
-Up to FIRST earlier candidates of a line and prefix token are tried; lines still open that have more
-are tried against all. Null text stays null; extra columns are kept; doc_id should be unique.
+Tokens are ordered by rarity: counts of all words are summed by hash in CELLS cells (so what every task
+knows has a fixed bound), and rarer cells come first. Lines of equal sets are one class, reduced in each
+task first; the earliest stands for it. Prefix, length and positional filters and a 128-bit parity sketch
+(each differing token flips one bit) leave candidates, verified on whole sets: first the FIRST earliest
+of a line and prefix token, then, for lines still open that have more, all earlier ones of the token, in
+blocks of BLOCK by BLOCK lines that give only verified lines.
+A null doc_id counts as the smallest; null text stays null and empty text empty. Rows with the same doc_id
+are told apart by their lines: lines with the same doc_id, place and set count as one, so a row repeated
+as it is keeps what its twin keeps. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,14 +18,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolap.llm import blobs, scratch, words
 
-HEAD, FIRST = 65536, 4
-_RECORD = np.dtype([("token", "<u8"), ("a", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4")])
+CELLS, RANGES, FIRST, BLOCK, SEEN = 1 << 21, 64, 3, 1024, 1 << 18
+NO_ID = -(2**63)
+_RECORD = np.dtype([("token", "<u4"), ("a", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4")])
+_CELL = np.dtype([("cell", "<u4"), ("n", "<u4")])
+LINE = "doc long, line int, a long"
+PAIR = f"kind int, {LINE}, doc0 long, line0 int, a0 long"
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -41,157 +50,322 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(43)).astype(np.int64)
+
+
+def levels(docs: DataFrame) -> np.ndarray:
+    """For each cell the logarithm of its count over all documents, in eighths, as one byte."""
+    step = CELLS // RANGES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for p in words.parts(batches, "text"):
+            total += np.bincount(cells(words.Words(p.column(0)).h), minlength=CELLS)
+        at = np.flatnonzero(total)
+        r = np.empty(len(at), _CELL)
+        r["cell"], r["n"] = at, np.minimum(total[at], 2**32 - 1)
+        cut = np.searchsorted(at, np.arange(RANGES + 1) * step)
+        some = [k for k in range(RANGES) if cut[k] < cut[k + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blobs._bytes(r[cut[k] : cut[k + 1]]) for k in some], pa.binary())], names=["bucket", "records"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in blobs.unpack(batches, _CELL):
+            k = int(r["cell"][0]) // step
+            n = np.bincount(r["cell"].astype(np.int64) - k * step, weights=r["n"], minlength=step)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(255, 8 * np.log2(1 + n)).astype(np.uint8).tobytes()], pa.binary())], names=["bucket", "records"])
+
+    out = np.zeros(CELLS, np.uint8)
+    for k, b in blobs.dealt(docs.select("text").mapInArrow(count, blobs.SCHEMA)).mapInArrow(add, blobs.SCHEMA).collect():  # CELLS bytes
+        out[k * step : (k + 1) * step] = np.frombuffer(b, np.uint8)
+    return out
+
+
 def prefix(size: np.ndarray | int) -> np.ndarray | int:
     """Prefix length for Jaccard 0.8: size - ceil(0.8 * size) + 1."""
     return size - (4 * size + 4) // 5 + 1
 
 
-
-def postings(docs: DataFrame, head: np.ndarray, buckets: int) -> DataFrame:
-    """Blobs of prefix records; lines with the set of an earlier one in the same task come as bucket -1."""
-    rank_of = np.argsort(head, kind="stable")
-    known = head[rank_of]
+class Sets:
+    """The lines with words of a batch of texts: row, place, and sorted distinct tokens h[at[k]:at[k] + size[k]]."""
+
+    def __init__(self, column: pa.Array, level: np.ndarray | None = None):
+        w = words.Words(column)
+        feeds = np.cumsum(w.low == 10, dtype=np.int32)
+        line = feeds[w.starts] if len(w.starts) else np.zeros(0, np.int32)
+        row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+        begin = w.offsets[:-1]
+        before = np.where(begin > 0, feeds[np.maximum(begin, 1) - 1], 0) if len(feeds) else np.zeros(len(begin), np.int32)
+        line = line - before[row]
+        new = np.r_[True, (row[1:] != row[:-1]) | (line[1:] != line[:-1])][: len(row)]
+        group = np.cumsum(new, dtype=np.int64) - 1
+        self.row, self.line = row[new], line[new].astype(np.int32)
+        self.h, g = self._sorted(w.h, group, level)
+        self.at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]][: len(g)])
+        self.size = np.diff(np.r_[self.at, len(g)]).astype(np.int32)
+        m = words.mix(self.h)
+        self.a = words.mix(np.add.reduceat(m, self.at) + self.size.astype(np.uint64)) if len(g) else m
+
+    @staticmethod
+    def _sorted(h: np.ndarray, group: np.ndarray, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct tokens of each group from rare to frequent, then by hash."""
+        if not len(h):
+            return h, group
+        rank = np.zeros(len(h), np.uint64) if level is None else level[cells(h)].astype(np.uint64)
+        bits = max(1, int(group[-1]).bit_length())
+        key = (group.astype(np.uint64) << np.uint64(64 - bits)) | (rank << np.uint64(56 - bits)) | (h >> np.uint64(8 + bits))
+        o = np.argsort(key)
+        k, g, s = key[o], group[o], h[o]
+        if ((k[1:] == k[:-1]) & (s[1:] != s[:-1])).any():  # different tokens of one key
+            o = np.lexsort((h, key))
+            g, s = group[o], h[o]
+        new = np.r_[True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])]
+        return s[new], g[new]
+
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        m = words.mix(self.h + np.uint64(5))
+        bit, side = np.uint64(1) << (m & np.uint64(63)), ((m >> np.uint64(6)) & np.uint64(1)).astype(bool)
+        zero = np.uint64(0)
+        return np.bitwise_xor.reduceat(np.where(side, zero, bit), self.at), np.bitwise_xor.reduceat(np.where(side, bit, zero), self.at)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _rows(kind: int, doc, line, a, doc0=None, line0=None, a0=None) -> pa.RecordBatch:
+    zero = np.zeros(len(doc), np.int64)
+    get = lambda v, t: pa.array(np.ascontiguousarray(zero if v is None else v.view(np.int64) if v.dtype == np.uint64 else v).astype(t))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), get(doc, np.int64), get(line, np.int32), get(a, np.int64), get(doc0, np.int64), get(line0, np.int32), get(a0, np.int64)], names=["kind", "doc", "line", "a", "doc0", "line0", "a0"])
+
+
+def postings(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
+    """Blobs of prefix records of the lines; lines with the set of an earlier one of their task come in buckets below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[dict] = [{}, {}]  # sets of this task: the earliest line of each; a full table becomes the old one
         for p in words.parts(batches, "text", 4 << 20):
-            w = words.Words(p.column(1))
-            if not len(w.h):
+            s = Sets(p.column(1), level)
+            if not len(s.at):
                 continue
-            ids = np.array([-(2**63) if d is None else d for d in p.column(0).to_pylist()], dtype=np.int64)
-            _, off = words.buffers(p.column(1))
-            row = np.repeat(np.arange(len(ids)), np.diff(w.first))
-            feeds = np.r_[0, np.cumsum(w.low == 10, dtype=np.int64)]
-            line = feeds[w.starts] - feeds[off[:-1]][row]
-            group = np.cumsum(np.r_[False, (row[1:] != row[:-1]) | (line[1:] != line[:-1])])
-            place = np.minimum(np.searchsorted(known, w.h), len(known) - 1) if len(known) else np.zeros(len(w.h), int)
-            is_head = (known[place] == w.h) if len(known) else np.zeros(len(w.h), bool)
-            # rare tokens by hash, then the head from rare to frequent
-            order = np.where(is_head, np.uint64(2**63) + (len(known) - rank_of[place]).astype(np.uint64) if len(known) else np.uint64(0), w.h >> np.uint64(1))
-            o = np.lexsort((w.h, order, group))
-            g, h = group[o], w.h[o]
-            new = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])]
-            g, h = g[new], h[new]
-            at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            size = np.diff(np.r_[at, len(g)])
-            pos = np.arange(len(g)) - np.repeat(at, size)
-            m = words.mix(h + np.uint64(5))
-            bit = np.uint64(1) << (m & np.uint64(63))
-            side = (m >> np.uint64(6)) & np.uint64(1)
-            a = np.add.reduceat(words.mix(h), at)
-            x = np.bitwise_xor.reduceat(np.where(side == 0, bit, np.uint64(0)), at)
-            y = np.bitwise_xor.reduceat(np.where(side == 1, bit, np.uint64(0)), at)
-            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            doc, number = ids[row[start]], line[start]
-            o = np.lexsort((number, doc, size, a))
-            again = np.zeros(len(a), bool)
-            again[o[1:]] = (a[o[1:]] == a[o[:-1]]) & (size[o[1:]] == size[o[:-1]]) & (x[o[1:]] == x[o[:-1]])
+            x, y = s.sketches()
+            doc = _ids(p.column(0))[s.row]
+            again = np.zeros(len(doc), bool)
+            if len(seen[0]) > SEEN:
+                seen = [{}, seen[0]]
+            now, old = seen
+            for i, (k, d, n) in enumerate(zip(zip(s.a.tolist(), x.tolist()), doc.tolist(), s.line.tolist())):
+                first = now.get(k) or old.get(k)
+                if first is None or (d, n) < first:
+                    now[k] = d, n
+                else:
+                    now[k] = first
+                    again[i] = first != (d, n)
             if again.any():
-                d = np.stack([doc[again], number[again].astype(np.int64)], 1)
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([d.tobytes()], pa.binary())], names=["bucket", "records"])
-            keep = np.repeat(~again, size) & (pos < np.repeat(prefix(size), size))
-            k = np.repeat(np.arange(len(at)), size)[keep]
+                d = np.empty(int(again.sum()), [("doc", "<i8"), ("line", "<i4"), ("a", "<u8")])
+                d["doc"], d["line"], d["a"] = doc[again], s.line[again], s.a[again]
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(s.a[0] % np.uint64(buckets))], pa.int32()), pa.array([blobs._bytes(d)], pa.binary())], names=["bucket", "records"])
+            n = np.where(again, 0, prefix(s.size))
+            k = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            token = words.mix(s.h[s.at[k] + pos])
             r = np.empty(len(k), _RECORD)
-            for name, v in (("token", h[keep]), ("a", a[k]), ("x", x[k]), ("y", y[k]), ("doc", doc[k]), ("line", number[k]), ("size", size[k]), ("pos", pos[keep])):
+            for name, v in (("token", token & np.uint64(2**32 - 1)), ("a", s.a[k]), ("x", x[k]), ("y", y[k]), ("doc", doc[k]), ("line", s.line[k]), ("size", s.size[k]), ("pos", pos)):
                 r[name] = v
-            yield from blobs.pack(r, "token", buckets)
+            yield from blobs.pack(r, token, buckets)
 
     return docs.select("doc_id", "text").mapInArrow(run, blobs.SCHEMA)
 
 
-def _bits(v: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(v).astype(np.int32)
-
-
-def candidates(r: np.ndarray, first: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(later, earlier, kind) indexes into r, sorted by token, doc, line: kind 0 equal sets, 1 to verify, 2 has more."""
-    n = len(r)
-    end = np.searchsorted(r["token"], r["token"], side="right") if n else np.zeros(0, int)
-    count = np.zeros(n, np.int32)
-    live = np.arange(n)
-    d = 1
-    while len(live := live[live + d < end[live]]):
-        i, j = live, live + d
+def candidates(r: np.ndarray, first: int = FIRST) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Of the records of a bucket, sorted by token, doc, line: the records, (later, earlier) indexes of the `first` earliest candidates of each, group starts, and which have more to try."""
+    start = np.searchsorted(r["token"], r["token"]) if len(r) else np.zeros(0, np.int64)
+    rank, count = np.arange(len(r)) - start, np.zeros(len(r), np.int32)
+    live, e, out = np.flatnonzero(rank > 0), 0, []
+    more = np.zeros(len(r), bool)
+    while len(live):
+        i, j = start[live] + e, live
         s, t = r["size"][i], r["size"][j]
-        need = (4 * (s + t) + 8) // 9  # overlap of at least 0.8 / 1.8 of both sizes
-        ok = (5 * np.minimum(s, t) >= 4 * np.maximum(s, t)) & (1 + np.minimum(s - r["pos"][i] - 1, t - r["pos"][j] - 1) + np.minimum(r["pos"][i], r["pos"][j]) >= need)
+        ok = (5 * np.minimum(s, t) >= 4 * np.maximum(s, t)) & (1 + np.minimum(s - r["pos"][i] - 1, t - r["pos"][j] - 1) + np.minimum(r["pos"][i], r["pos"][j]) >= (4 * (s + t) + 8) // 9)
         i, j, s, t = i[ok], j[ok], s[ok], t[ok]
-        ok = _bits(r["x"][i] ^ r["x"][j]) + _bits(r["y"][i] ^ r["y"][j]) <= (s + t) - 2 * ((4 * (s + t) + 8) // 9)
+        ok = np.bitwise_count(r["x"][i] ^ r["x"][j]).astype(np.int32) + np.bitwise_count(r["y"][i] ^ r["y"][j]) <= (s + t) - 2 * ((4 * (s + t) + 8) // 9)
         i, j = i[ok], j[ok]
-        if len(i):
-            equal = (r["a"][i] == r["a"][j]) & (r["size"][i] == r["size"][j]) & (r["x"][i] == r["x"][j]) & (r["y"][i] == r["y"][j])
+        if len(j):
             count[j] += 1
-            kind = np.where(equal, 0, np.where(count[j] <= (first or n), 1, 2))
-            yield j, i, kind
-        d += 1
+            out.append((j, i))
+        e += 1
+        live = live[rank[live] > e]
+        full = count[live] >= first
+        more[live[full]] = True
+        live = live[~full]
+    return start, out, rank, more
+
+
+def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind 0: a line with the set of an earlier one; 1: a line and an earlier candidate; 2: the lines of a token with more to try (line0 its rank, doc0 the token's name, a0 whether it has more)."""
+    for r in blobs.unpack(batches, _RECORD):
+        r = r[np.lexsort((r["line"], r["doc"], r["a"], r["token"]))]
+        same = np.r_[False, np.logical_and.reduce([r[k][1:] == r[k][:-1] for k in ("token", "a", "size", "x", "y")])]
+        twin = np.r_[False, (r["doc"][1:] == r["doc"][:-1]) & (r["line"][1:] == r["line"][:-1])]
+        d = r[same & ~twin & (r["pos"] == 0)]  # equal sets have equal prefixes
+        if len(d):
+            yield _rows(0, d["doc"], d["line"], d["a"])
+        r = r[~same]
+        r = r[np.lexsort((r["line"], r["doc"], r["token"]))]
+        start, found, rank, more = candidates(r)
+        if found:
+            j, i = (np.concatenate(x) for x in zip(*found))
+            both = np.unique(r[["doc", "line", "a"]][j].view(), return_inverse=True)[1] * np.int64(len(r)) + np.unique(r[["doc", "line", "a"]][i], return_inverse=True)[1]
+            _, one = np.unique(both, return_index=True)
+            j, i = j[one], i[one]
+            for at in range(0, len(j), 1 << 16):
+                x, y = r[j[at : at + (1 << 16)]], r[i[at : at + (1 << 16)]]
+                yield _rows(1, x["doc"], x["line"], x["a"], y["doc"], y["line"], y["a"])
+        if more.any():
+            m = np.flatnonzero(np.isin(start, start[more]))
+            x = r[m]
+            name = words.mix(x["token"].astype(np.uint64) + (r["a"][start[m]] << np.uint64(1)))
+            yield _rows(2, x["doc"], x["line"], x["a"], name, rank[m], more[m].astype(np.int64))
+
+
+def like(p: np.ndarray, q: np.ndarray) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 10 * both >= 8 * (len(p) + len(q) - both)
+
+
+def whole_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(doc, line, a, s): the sorted token hashes of the lines needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in words.parts(batches, "text", 4 << 20):
+            s, doc = Sets(p.column(1)), p.column(0).to_numpy()
+            want = [{tuple(y.values()) for y in x} for x in p.column(2).to_pylist()]
+            a = s.a.view(np.int64).tolist()
+            keep = [i for i, (r, n) in enumerate(zip(s.row.tolist(), s.line.tolist())) if (n, a[i]) in want[r]]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s.row[keep]]), pa.array(s.line[keep]), pa.array(s.a.view(np.int64)[keep]), pa.array([s.h[s.at[i] : s.at[i] + s.size[i]].tobytes() for i in keep], pa.binary())], names=["doc", "line", "a", "s"])
+
+    by = need.distinct().groupBy("doc").agg(F.collect_list(F.struct("line", "a")).alias("want"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
+    return texts.join(by, "doc").select("doc", "text", "want").mapInArrow(run, f"{LINE}, s binary")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line that an earlier one is like; lines count from 0."""
+    """(doc, line, a) of every line that an earlier one is like; lines count from 0, a names the line's set."""
     spark = docs.sparkSession
-    top = token_counts(docs).orderBy(F.desc("n"), "h").limit(HEAD).select("h").collect()  # a fixed bound
-    head = np.array([t[0] for t in top], dtype=np.int64).view(np.uint64)
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = scratch.write(postings(docs, head, buckets), "postings")
-
-    def join(first: int | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = blobs.unpack(batches, _RECORD)
-            r = r[np.lexsort((r["line"], r["doc"], r["token"]))]
-            for j, i, kind in candidates(r, first):
-                x, y = r[j], r[i]
-                keep = kind < 2
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["doc"].copy(), x["line"].copy(), np.where(keep, y["doc"], 0), np.where(keep, y["line"], 0).astype(np.int32), kind.astype(np.int32))], names=["doc", "line", "doc0", "line0", "kind"])
-
-        return run
+    level = levels(docs)
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    line = ["doc", "line", "a"]
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype([("doc", "<i8"), ("line", "<i4"), ("a", "<u8")])
+
+        def flat() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = b.column(0).to_numpy() < 0
+                for blob in b.column(1).filter(pa.array(own)).to_pylist():
+                    d = blobs._array(blob, kind)
+                    done.append(_rows(0, d["doc"], d["line"], d["a"]))
+                yield b.filter(pa.array(~own))
+
+        done: list[pa.RecordBatch] = []
+        for out in join(flat()):
+            yield out
+            yield from done
+            done.clear()
+        yield from done
+
+    found = scratch.write(blobs.dealt(postings(docs, level, buckets)).mapInArrow(again, PAIR), "candidates")
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.concatenate([np.frombuffer(v, np.int64) for v in b.column(1).to_pylist()] or [np.zeros(0, np.int64)]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].astype(np.int32))], names=["doc", "line"])
-
-    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s, t = words.Words(b.column(2)), words.Words(b.column(3))
-            out = []
-            for i in range(b.num_rows):
-                p, q = np.unique(s.h[s.first[i] : s.first[i + 1]]), np.unique(t.h[t.first[i] : t.first[i + 1]])
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both > 0 and 10 * both >= 8 * (len(p) + len(q) - both))
-            m = pa.array(out, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["doc", "line"])
-
-    split = docs.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("_t"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("doc", "line", "doc0", "line0").distinct()
-        need = pairs.select("doc", "line").union(pairs.select("doc0", "line0")).distinct()
-        text = scratch.write(need.join(split, "doc").select("doc", "line", F.expr("_t[line]").alias("t")), "lines")
-        both = pairs.join(text.withColumnsRenamed({"doc": "doc0", "line": "line0", "t": "t0"}), ["doc0", "line0"]).join(text, ["doc", "line"])
-        return both.select("doc", "line", "t", "t0").mapInArrow(like, "doc long, line int").distinct()
-
-    rows = "doc long, line int, doc0 long, line0 int, kind int"
-    dealt = posted.where("bucket >= 0").repartition("bucket")
-    found = scratch.write(dealt.mapInArrow(join(FIRST), rows), "candidates")
-    out = posted.where("bucket < 0").mapInArrow(again, "doc long, line int").union(found.where("kind = 0").select("doc", "line"))
-    out = scratch.write(out.union(verified(found.where("kind = 1"))).distinct(), "removed")
-    more = found.where("kind = 2").select("doc", "line").distinct().join(out, ["doc", "line"], "left_anti")
-    if more.limit(1).count():
-        rest = dealt.mapInArrow(join(None), rows).where("kind = 1").join(scratch.write(more, "open"), ["doc", "line"], "left_semi")
-        out = out.union(verified(rest))
-    return out.distinct().select(F.col("doc").alias("doc_id"), "line")
+            m = pa.array([like(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(m) for i in range(3)], names=line)
+
+    pairs = found.where("kind = 1").drop("kind").distinct()
+    sets = scratch.write(whole_sets(docs, pairs.select(*line).union(pairs.select("doc0", "line0", "a0"))), "sets")
+    earlier = sets.withColumnsRenamed({"doc": "doc0", "line": "line0", "a": "a0", "s": "s0"})
+    liked = pairs.join(sets, line).join(earlier, ["doc0", "line0", "a0"]).select(*line, "s", "s0").mapInArrow(same, LINE)
+    out = scratch.write(found.where("kind = 0").select(*line).union(liked).distinct(), "removed")
+    scratch.drop(sets)
+    member = found.where("kind = 2").select(F.col("doc0").alias("g"), F.col("line0").alias("o"), *line, (F.col("a0") > 0).alias("more"))
+    open_ = scratch.write(member.where("more").select(*line).distinct().join(out, line, "left_anti"), "open")
+    if open_.limit(1).count():
+        out = out.union(_rest(docs, member, open_)).distinct()
+    return out
+
+
+def _rest(docs: DataFrame, member: DataFrame, open_: DataFrame) -> DataFrame:
+    """The open lines that any earlier line of their tokens is like, by blocks of each token's lines."""
+    line = ["doc", "line", "a"]
+    later = member.where("more").join(open_, line, "left_semi").select("g", "o", *line, F.expr(f"o div {BLOCK}").alias("ob"))
+    last = later.groupBy("g").agg(F.max("o").alias("last"))
+    early = scratch.write(member.join(last, "g").where("o < last").select("g", "o", *line), "members")
+    sets = scratch.write(whole_sets(docs, early.select(*line).union(open_)), "sets")
+    side = later.join(sets, line).withColumn("mb", F.explode(F.expr("sequence(0L, ob)")))
+    other = early.join(later.select("g", "ob").distinct(), "g").withColumn("mb", F.expr(f"o div {BLOCK}")).where("mb <= ob").join(sets, line)
+    both = side.select("g", "ob", "mb", "o", *line, "s", F.lit(True).alias("late")).union(other.select("g", "ob", "mb", "o", *line, "s", F.lit(False)))
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, late = pdf[~pdf["late"]].sort_values("o"), pdf[pdf["late"]]
+        if not len(first) or not len(late):
+            return pd.DataFrame({"doc": [], "line": [], "a": []}).astype({"doc": "int64", "line": "int32", "a": "int64"})
+        sets = [np.frombuffer(s, np.uint64) for s in first["s"]]
+        size, o = np.array([len(s) for s in sets]), first["o"].to_numpy()
+        h, at = np.unique(np.concatenate(sets), return_inverse=True)
+        starts, hit, out = np.cumsum(size) - size, np.zeros(len(h), np.int32), []
+        for r in late.itertuples():
+            s = np.frombuffer(r.s, np.uint64)
+            p = np.minimum(np.searchsorted(h, s), len(h) - 1)
+            p = p[h[p] == s]
+            hit[p] = 1
+            n = np.add.reduceat(hit[at], starts)
+            hit[p] = 0
+            if ((10 * n >= 8 * (size + len(s) - n)) & (o < r.o)).any():
+                out.append((r.doc, r.line, r.a))
+        return pd.DataFrame(out, columns=["doc", "line", "a"]).astype({"doc": "int64", "line": "int32", "a": "int64"})
+
+    return scratch.write(both.groupBy("g", "ob", "mb").applyInPandas(check, LINE).distinct(), "removed_later")
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """All columns, text without the removed lines; and _lines (all) and _removed (their places)."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    both = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("_removed", F.coalesce("_gone", F.expr("array()")))
-    t = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_removed, i)), '\\n')")
-    return both.withColumn("_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).withColumn("text", F.when(F.size("_removed") > 0, t).otherwise(F.col("text"))).select(*docs.columns, "_lines", "_removed")
+    """The columns of docs as c0, c1, ..., the text without the removed lines; n_lines, removed (places) and emptied."""
+    gone = removed_lines(docs).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("line", "a"))).alias("gone"))
+    i, n = docs.columns.index("text"), len(docs.columns)
+    plain = docs.toDF(*[f"c{k}" for k in range(n)])
+    key = F.coalesce(F.col(f"c{docs.columns.index('doc_id')}"), F.lit(NO_ID))
+    both = plain.join(gone, key == F.col("doc"), "left").drop("doc")
+    schema = plain.selectExpr("*", "0L as n_lines", "array(0) as removed", "true as emptied").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in words.parts(batches, f"c{i}", 4 << 20):
+            text, at = b.column(i), np.flatnonzero(b.column(n).is_valid().to_numpy(zero_copy_only=False))
+            some = text.take(pa.array(at))
+            s = Sets(some)
+            a, cut = s.a.view(np.int64).tolist(), np.searchsorted(s.row, np.arange(len(at) + 1))
+            now, removed, emptied = {}, [[]] * b.num_rows, np.zeros(b.num_rows, bool)
+            for k, (t, want) in enumerate(zip(some.to_pylist(), b.column(n).take(pa.array(at)).to_pylist())):
+                want = {(x["line"], x["a"]) for x in want}
+                mine = range(cut[k], cut[k + 1])
+                places = [int(s.line[m]) for m in mine if (int(s.line[m]), a[m]) in want]
+                if places:
+                    drop = set(places)
+                    now[at[k]] = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop)
+                    removed[at[k]], emptied[at[k]] = places, len(places) == len(mine)
+            lines = pa.compute.add(pa.compute.count_substring(text, "\n"), 1).fill_null(0).cast(pa.int64())
+            columns = list(b.columns)[:n]
+            if now:
+                mask = np.zeros(b.num_rows, bool)
+                mask[list(now)] = True
+                columns[i] = pa.compute.replace_with_mask(text, pa.array(mask), pa.array([now[k] for k in sorted(now)], text.type))
+            yield pa.RecordBatch.from_arrays([*columns, lines, pa.array(removed, pa.list_(pa.int32())), pa.array(emptied)], names=[*b.schema.names[:n], "n_lines", "removed", "emptied"])
+
+    return both.mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return remove_lines(docs.select("doc_id", "text")).select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.col("_removed").alias("removed_lines"), "text")
+    return remove_lines(docs.select("doc_id", "text")).select(F.col("c0").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.col("removed").alias("removed_lines"), F.col("c1").alias("text"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    return remove_lines(docs).select(*docs.columns)
+    """The documents without removed lines; one that loses all its words goes."""
+    return remove_lines(docs).where("not emptied").drop("n_lines", "removed", "emptied").toDF(*docs.columns)

@@ -1,7 +1,8 @@
 """Written intermediate tables in the folder that the cluster shares.
 
 A written table cuts lineage: a lost executor costs only the running stage, and a later reader never
-recomputes Python work. The folder is spark.checkpoint.dir; where unset (tests) a local one is set.
+recomputes Python work. The folder is spark.checkpoint.dir; where unset (a local master, as in tests) a
+local one is set. The shuffle files of a write are removed as soon as it ends, as nothing reads them again.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         conf = "file://" + tempfile.mkdtemp(prefix="chronolap")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -25,10 +30,15 @@ def path(spark: SparkSession, name: str) -> str:
 
 
 def write(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written once as Parquet and read again; .inputFiles() tells where."""
+    """The frame, written once as Parquet and read again."""
     spark = df.sparkSession
     to = path(spark, name)
-    df.write.option("compression", "zstd").parquet(to)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(to)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(to)
     out._scratch = to
     return out

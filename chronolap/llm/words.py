@@ -102,12 +102,12 @@ def hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Words:
     """Word hashes of a batch of texts: hash h[first[k]:first[k+1]] belongs to row k."""
 
-    __slots__ = ("low", "starts", "ends", "first", "h")
+    __slots__ = ("low", "offsets", "starts", "ends", "first", "h")
 
     def __init__(self, column: pa.Array):
-        raw, offsets = buffers(column)
+        raw, self.offsets = buffers(column)
         self.low = LOWER[raw]
-        self.starts, self.ends, self.first = spans(self.low, offsets)
+        self.starts, self.ends, self.first = spans(self.low, self.offsets)
         self.h = hashes(self.low, self.starts, self.ends)
 
 
