@@ -5,9 +5,9 @@ earlier line (smaller doc_id, then place) has a similarity of 0.8 or more; lines
 Tokens are ordered by rarity: counts of all words are summed by hash in CELLS cells (so what every task
 knows has a fixed bound), and rarer cells come first. Lines of equal sets are one class, reduced in each
 task first; the earliest stands for it. Prefix, length and positional filters and a 128-bit parity sketch
-(each differing token flips one bit) leave candidates, verified on whole sets: first the FIRST earliest
-of a line and prefix token, then, for lines still open that have more, all earlier ones of the token, in
-blocks of BLOCK by BLOCK lines that give only verified lines.
+(each differing token flips one bit) leave candidates, verified on whole sets: first the closest by sketch
+of the LOOK earliest of a line and prefix token, then, for lines still open that have others, all earlier
+ones of the token, in blocks of BLOCK by BLOCK lines that give only verified lines.
 A null doc_id counts as the smallest; null text stays null and empty text empty. Rows with the same doc_id
 are told apart by their lines: lines with the same doc_id, place and set count as one, so a row repeated
 as it is keeps what its twin keeps. Extra columns are kept, whatever their names.
@@ -18,14 +18,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolap.llm import blobs, scratch, words
 
-CELLS, RANGES, FIRST, BLOCK, SEEN = 1 << 21, 64, 3, 1024, 1 << 18
+CELLS, RANGES, LOOK, BLOCK, SEEN = 1 << 21, 64, 8, 1024, 1 << 18
 NO_ID = -(2**63)
 _RECORD = np.dtype([("token", "<u4"), ("a", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4")])
 _CELL = np.dtype([("cell", "<u4"), ("n", "<u4")])
@@ -177,50 +177,80 @@ def postings(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, blobs.SCHEMA)
 
 
-def candidates(r: np.ndarray, first: int = FIRST) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """Of the records of a bucket, sorted by token, doc, line: the records, (later, earlier) indexes of the `first` earliest candidates of each, group starts, and which have more to try."""
+def candidates(r: np.ndarray, look: int = LOOK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the records of a bucket, sorted by token, doc, line: group starts, ranks, the closest of the `look` earliest candidates of each (-1: none), and which have others."""
     start = np.searchsorted(r["token"], r["token"]) if len(r) else np.zeros(0, np.int64)
     rank, count = np.arange(len(r)) - start, np.zeros(len(r), np.int32)
-    live, e, out = np.flatnonzero(rank > 0), 0, []
+    size, pos, x, y = (np.ascontiguousarray(r[k]) for k in ("size", "pos", "x", "y"))
+    best, least = np.full(len(r), -1), np.full(len(r), 1 << 30, np.int32)
     more = np.zeros(len(r), bool)
+    live, e = np.flatnonzero(rank > 0), 0
     while len(live):
         i, j = start[live] + e, live
-        s, t = r["size"][i], r["size"][j]
-        ok = (5 * np.minimum(s, t) >= 4 * np.maximum(s, t)) & (1 + np.minimum(s - r["pos"][i] - 1, t - r["pos"][j] - 1) + np.minimum(r["pos"][i], r["pos"][j]) >= (4 * (s + t) + 8) // 9)
+        s, t = size[i], size[j]
+        ok = 5 * np.minimum(s, t) >= 4 * np.maximum(s, t)
         i, j, s, t = i[ok], j[ok], s[ok], t[ok]
-        ok = np.bitwise_count(r["x"][i] ^ r["x"][j]).astype(np.int32) + np.bitwise_count(r["y"][i] ^ r["y"][j]) <= (s + t) - 2 * ((4 * (s + t) + 8) // 9)
-        i, j = i[ok], j[ok]
-        if len(j):
-            count[j] += 1
-            out.append((j, i))
+        need = (4 * (s + t) + 8) // 9
+        p, q = pos[i], pos[j]
+        ok = 1 + np.minimum(s - p - 1, t - q - 1) + np.minimum(p, q) >= need
+        i, j, far = i[ok], j[ok], (s + t - 2 * need)[ok]
+        d = np.bitwise_count(x[i] ^ x[j]).astype(np.int32) + np.bitwise_count(y[i] ^ y[j])
+        ok = d <= far
+        i, j, d = i[ok], j[ok], d[ok]
+        count[j] += 1
+        near = d < least[j]
+        best[j[near]], least[j[near]] = i[near], d[near]
         e += 1
         live = live[rank[live] > e]
-        full = count[live] >= first
+        full = count[live] >= look
         more[live[full]] = True
         live = live[~full]
-    return start, out, rank, more
+    return start, rank, best, more | (count > 1)
+
+
+def classes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest record of each token and set, by token, doc and line, and the others."""
+    key = (r["token"].astype(np.uint64) << np.uint64(32)) | (r["a"] >> np.uint64(32))
+    o = np.argsort(key)
+    k, a = key[o], r["a"][o]
+    if ((k[1:] == k[:-1]) & (a[1:] != a[:-1])).any():
+        o = np.lexsort((r["a"], key))
+        a = r["a"][o]
+        k = key[o]
+    new = np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1])][: len(o)]
+    group = np.cumsum(new) - 1
+    several = np.bincount(group)[group] > 1 if len(o) else new
+    first, others = o[~several], o[:0]
+    if several.any():
+        g, m = group[several], o[several]
+        by = np.lexsort((r["line"][m], r["doc"][m], g))
+        g, m = g[by], m[by]
+        head = np.r_[True, g[1:] != g[:-1]]
+        first, others = np.r_[first, m[head]], m[~head]
+        lead = m[np.maximum.accumulate(np.where(head, np.arange(len(m)), 0))][~head]
+        others = others[(r["doc"][others] != r["doc"][lead]) | (r["line"][others] != r["line"][lead])]
+    return r[first], r[others]
 
 
 def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a line with the set of an earlier one; 1: a line and an earlier candidate; 2: the lines of a token with more to try (line0 its rank, doc0 the token's name, a0 whether it has more)."""
     for r in blobs.unpack(batches, _RECORD):
-        r = r[np.lexsort((r["line"], r["doc"], r["a"], r["token"]))]
-        same = np.r_[False, np.logical_and.reduce([r[k][1:] == r[k][:-1] for k in ("token", "a", "size", "x", "y")])]
-        twin = np.r_[False, (r["doc"][1:] == r["doc"][:-1]) & (r["line"][1:] == r["line"][:-1])]
-        d = r[same & ~twin & (r["pos"] == 0)]  # equal sets have equal prefixes
+        r, d = classes(r)
+        d = d[d["pos"] == 0]  # equal sets have equal prefixes
         if len(d):
             yield _rows(0, d["doc"], d["line"], d["a"])
-        r = r[~same]
+        t = np.sort(r["token"])
+        t = t[1:][t[1:] == t[:-1]]
+        r = r[np.isin(r["token"], t)]
         r = r[np.lexsort((r["line"], r["doc"], r["token"]))]
-        start, found, rank, more = candidates(r)
-        if found:
-            j, i = (np.concatenate(x) for x in zip(*found))
-            both = np.unique(r[["doc", "line", "a"]][j].view(), return_inverse=True)[1] * np.int64(len(r)) + np.unique(r[["doc", "line", "a"]][i], return_inverse=True)[1]
-            _, one = np.unique(both, return_index=True)
-            j, i = j[one], i[one]
-            for at in range(0, len(j), 1 << 16):
-                x, y = r[j[at : at + (1 << 16)]], r[i[at : at + (1 << 16)]]
-                yield _rows(1, x["doc"], x["line"], x["a"], y["doc"], y["line"], y["a"])
+        start, rank, best, more = candidates(r)
+        j = np.flatnonzero(best >= 0)
+        i = best[j]
+        _, one = np.unique(words.mix(r["a"][j]) + r["a"][i], return_index=True)  # one of each pair of sets
+        j, i = j[one], i[one]
+        for at in range(0, len(j), 1 << 16):
+            x, y = r[j[at : at + (1 << 16)]], r[i[at : at + (1 << 16)]]
+            yield _rows(1, x["doc"], x["line"], x["a"], y["doc"], y["line"], y["a"])
         if more.any():
             m = np.flatnonzero(np.isin(start, start[more]))
             x = r[m]
@@ -228,9 +258,22 @@ def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(2, x["doc"], x["line"], x["a"], name, rank[m], more[m].astype(np.int64))
 
 
-def like(p: np.ndarray, q: np.ndarray) -> bool:
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    return 10 * both >= 8 * (len(p) + len(q) - both)
+def _blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of binary rows one after another, and how many each has."""
+    off = np.frombuffer(column.buffers()[1], np.int32, count=len(column) + 1, offset=4 * column.offset)
+    data = column.buffers()[2]
+    h = np.frombuffer(data, np.uint64, count=(off[-1] - off[0]) // 8, offset=int(off[0])) if len(column) and off[-1] > off[0] else np.zeros(0, np.uint64)
+    return h, np.diff(off) // 8
+
+
+def alike(s: pa.Array, t: pa.Array) -> np.ndarray:
+    """Whether the sets of each row have a similarity of 0.8 or more."""
+    (p, n), (q, m) = _blobs(s), _blobs(t)
+    h, row = np.r_[p, q], np.r_[np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)]
+    o = np.lexsort((h, row))
+    h, row = h[o], row[o]
+    both = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=len(n))
+    return 10 * both >= 8 * (n + m - both)
 
 
 def whole_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
@@ -238,13 +281,14 @@ def whole_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in words.parts(batches, "text", 4 << 20):
-            s, doc = Sets(p.column(1)), p.column(0).to_numpy()
-            want = [{tuple(y.values()) for y in x} for x in p.column(2).to_pylist()]
-            a = s.a.view(np.int64).tolist()
-            keep = [i for i, (r, n) in enumerate(zip(s.row.tolist(), s.line.tolist())) if (n, a[i]) in want[r]]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s.row[keep]]), pa.array(s.line[keep]), pa.array(s.a.view(np.int64)[keep]), pa.array([s.h[s.at[i] : s.at[i] + s.size[i]].tobytes() for i in keep], pa.binary())], names=["doc", "line", "a", "s"])
-
-    by = need.distinct().groupBy("doc").agg(F.collect_list(F.struct("line", "a")).alias("want"))
+            s, doc, want = Sets(p.column(1)), p.column(0).to_numpy(), p.column(2)
+            row = np.repeat(np.arange(len(want)), want.value_lengths().to_numpy())
+            w = want.flatten()
+            name = lambda row, line, a: words.mix(words.mix(row.astype(np.uint64) << np.uint64(32) | line.astype(np.uint64)) + a)
+            keep = np.flatnonzero(np.isin(name(s.row, s.line, s.a), name(row, w.field(0).to_numpy(), w.field(1).to_numpy().view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s.row[keep]]), pa.array(s.line[keep]), pa.array(s.a.view(np.int64)[keep]), pa.array([np.sort(s.h[s.at[i] : s.at[i] + s.size[i]]).tobytes() for i in keep], pa.binary())], names=["doc", "line", "a", "s"])
+
+    by = need.groupBy("doc").agg(F.collect_set(F.struct("line", "a")).alias("want"))
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
     return texts.join(by, "doc").select("doc", "text", "want").mapInArrow(run, f"{LINE}, s binary")
 
@@ -255,76 +299,96 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     level = levels(docs)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     line = ["doc", "line", "a"]
+    again = np.dtype([("doc", "<i8"), ("line", "<i4"), ("a", "<u8")])
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("doc", "<i8"), ("line", "<i4"), ("a", "<u8")])
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The join, and as kind 0 what postings() found already."""
+        done: list[pa.RecordBatch] = []
 
-        def flat() -> Iterator[pa.RecordBatch]:
+        def others() -> Iterator[pa.RecordBatch]:
             for b in batches:
                 own = b.column(0).to_numpy() < 0
                 for blob in b.column(1).filter(pa.array(own)).to_pylist():
-                    d = blobs._array(blob, kind)
+                    d = blobs._array(blob, again)
                     done.append(_rows(0, d["doc"], d["line"], d["a"]))
                 yield b.filter(pa.array(~own))
 
-        done: list[pa.RecordBatch] = []
-        for out in join(flat()):
-            yield out
+        for out in join(others()):
             yield from done
             done.clear()
+            yield out
         yield from done
 
-    found = scratch.write(blobs.dealt(postings(docs, level, buckets)).mapInArrow(again, PAIR), "candidates")
-
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = pa.array([like(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())], pa.bool_())
+            m = pa.array(alike(b.column(3), b.column(4)))
             yield pa.RecordBatch.from_arrays([b.column(i).filter(m) for i in range(3)], names=line)
 
+    found = scratch.write(blobs.dealt(postings(docs, level, buckets)).mapInArrow(joined, PAIR), "candidates")
     pairs = found.where("kind = 1").drop("kind").distinct()
-    sets = scratch.write(whole_sets(docs, pairs.select(*line).union(pairs.select("doc0", "line0", "a0"))), "sets")
+    member = found.where("kind = 2").select(F.col("doc0").alias("g"), F.col("line0").alias("o"), *line, (F.col("a0") > 0).alias("more"))
+    sets = scratch.write(whole_sets(docs, found.where("kind > 0").select(*line).union(found.where("kind = 1").select("doc0", "line0", "a0"))), "sets")
     earlier = sets.withColumnsRenamed({"doc": "doc0", "line": "line0", "a": "a0", "s": "s0"})
     liked = pairs.join(sets, line).join(earlier, ["doc0", "line0", "a0"]).select(*line, "s", "s0").mapInArrow(same, LINE)
     out = scratch.write(found.where("kind = 0").select(*line).union(liked).distinct(), "removed")
-    scratch.drop(sets)
-    member = found.where("kind = 2").select(F.col("doc0").alias("g"), F.col("line0").alias("o"), *line, (F.col("a0") > 0).alias("more"))
     open_ = scratch.write(member.where("more").select(*line).distinct().join(out, line, "left_anti"), "open")
     if open_.limit(1).count():
-        out = out.union(_rest(docs, member, open_)).distinct()
+        out = out.union(scratch.write(_rest(member, open_, sets), "removed_later"))
+    scratch.drop(found, sets, open_)
     return out
 
 
-def _rest(docs: DataFrame, member: DataFrame, open_: DataFrame) -> DataFrame:
+def _rest(member: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame:
     """The open lines that any earlier line of their tokens is like, by blocks of each token's lines."""
     line = ["doc", "line", "a"]
     later = member.where("more").join(open_, line, "left_semi").select("g", "o", *line, F.expr(f"o div {BLOCK}").alias("ob"))
-    last = later.groupBy("g").agg(F.max("o").alias("last"))
-    early = scratch.write(member.join(last, "g").where("o < last").select("g", "o", *line), "members")
-    sets = scratch.write(whole_sets(docs, early.select(*line).union(open_)), "sets")
-    side = later.join(sets, line).withColumn("mb", F.explode(F.expr("sequence(0L, ob)")))
-    other = early.join(later.select("g", "ob").distinct(), "g").withColumn("mb", F.expr(f"o div {BLOCK}")).where("mb <= ob").join(sets, line)
-    both = side.select("g", "ob", "mb", "o", *line, "s", F.lit(True).alias("late")).union(other.select("g", "ob", "mb", "o", *line, "s", F.lit(False)))
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, late = pdf[~pdf["late"]].sort_values("o"), pdf[pdf["late"]]
-        if not len(first) or not len(late):
-            return pd.DataFrame({"doc": [], "line": [], "a": []}).astype({"doc": "int64", "line": "int32", "a": "int64"})
-        sets = [np.frombuffer(s, np.uint64) for s in first["s"]]
-        size, o = np.array([len(s) for s in sets]), first["o"].to_numpy()
-        h, at = np.unique(np.concatenate(sets), return_inverse=True)
-        starts, hit, out = np.cumsum(size) - size, np.zeros(len(h), np.int32), []
-        for r in late.itertuples():
-            s = np.frombuffer(r.s, np.uint64)
-            p = np.minimum(np.searchsorted(h, s), len(h) - 1)
-            p = p[h[p] == s]
+    last = later.groupBy("g").agg(F.max("o").alias("last"), F.collect_set("ob").alias("obs"))
+    early = member.join(last, "g").where("o < last").select("g", F.explode("obs").alias("ob"), F.expr(f"o div {BLOCK}").alias("mb"), "o", *line, F.lit(False).alias("late"))
+    side = later.select("g", "ob", F.explode(F.expr("sequence(0L, ob)")).alias("mb"), "o", *line, F.lit(True).alias("late"))
+    both = early.where("mb <= ob").union(side).join(sets, line).select("g", "ob", "mb", "o", "late", *line, "s")
+
+    def check(b: pa.Table) -> list[int]:
+        late, o = b["late"].to_numpy(), b["o"].to_numpy()
+        if late.all():
+            return []
+        h, size = _blobs(b["s"].combine_chunks())
+        start = np.cumsum(size) - size
+        first = np.flatnonzero(~late)
+        h, at = np.unique(h, return_inverse=True)
+        mine = np.concatenate([at[start[k] : start[k] + size[k]] for k in first])
+        cut, n, hit, out = np.cumsum(size[first]) - size[first], size[first], np.zeros(len(h), np.int32), []
+        for k in np.flatnonzero(late):
+            p = at[start[k] : start[k] + size[k]]
             hit[p] = 1
-            n = np.add.reduceat(hit[at], starts)
+            x = np.add.reduceat(hit[mine], cut)
             hit[p] = 0
-            if ((10 * n >= 8 * (size + len(s) - n)) & (o < r.o)).any():
-                out.append((r.doc, r.line, r.a))
-        return pd.DataFrame(out, columns=["doc", "line", "a"]).astype({"doc": "int64", "line": "int32", "a": "int64"})
+            if ((10 * x >= 8 * (n + size[k] - x)) & (o[first] < o[k])).any():
+                out.append(int(k))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held)
+                yield from t.take(pa.array(check(t), pa.int64())).select(line).combine_chunks().to_batches()
+
+        for b in batches:
+            k = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+            for i, j in zip(at[:-1], at[1:]):
+                if j > i:
+                    if key != (now := tuple(k[i].tolist())):
+                        yield from end()
+                        held.clear()
+                        key = now
+                    held.append(b.slice(i, j - i))
+        yield from end()
 
-    return scratch.write(both.groupBy("g", "ob", "mb").applyInPandas(check, LINE).distinct(), "removed_later")
+    keys = ["g", "ob", "mb"]
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINE).distinct()
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
@@ -333,24 +397,25 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     i, n = docs.columns.index("text"), len(docs.columns)
     plain = docs.toDF(*[f"c{k}" for k in range(n)])
     key = F.coalesce(F.col(f"c{docs.columns.index('doc_id')}"), F.lit(NO_ID))
-    both = plain.join(gone, key == F.col("doc"), "left").drop("doc")
+    several = plain.withColumn("doc", key).withColumn("several", F.count("*").over(Window.partitionBy("doc")) > 1)
+    both = several.join(gone, "doc", "left").drop("doc")
     schema = plain.selectExpr("*", "0L as n_lines", "array(0) as removed", "true as emptied").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in words.parts(batches, f"c{i}", 4 << 20):
-            text, at = b.column(i), np.flatnonzero(b.column(n).is_valid().to_numpy(zero_copy_only=False))
-            some = text.take(pa.array(at))
-            s = Sets(some)
-            a, cut = s.a.view(np.int64).tolist(), np.searchsorted(s.row, np.arange(len(at) + 1))
+            text = b.column(i)
             now, removed, emptied = {}, [[]] * b.num_rows, np.zeros(b.num_rows, bool)
-            for k, (t, want) in enumerate(zip(some.to_pylist(), b.column(n).take(pa.array(at)).to_pylist())):
-                want = {(x["line"], x["a"]) for x in want}
-                mine = range(cut[k], cut[k + 1])
-                places = [int(s.line[m]) for m in mine if (int(s.line[m]), a[m]) in want]
-                if places:
-                    drop = set(places)
-                    now[at[k]] = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop)
-                    removed[at[k]], emptied[at[k]] = places, len(places) == len(mine)
+            at = np.flatnonzero(b.column(n + 1).is_valid().to_numpy(zero_copy_only=False))
+            own = b.column(n).to_pylist()
+            for k, t, want in zip(at.tolist(), text.take(pa.array(at)).to_pylist(), b.column(n + 1).take(pa.array(at)).to_pylist()):
+                if own[k]:  # several rows have this doc_id: the lines of another text are told by their sets
+                    s = Sets(text.slice(k, 1))
+                    mine = set(zip(s.line.tolist(), s.a.view(np.int64).tolist()))
+                    want = [x for x in want if (x["line"], x["a"]) in mine]
+                if want:
+                    drop = {x["line"] for x in want}
+                    now[k] = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop)
+                    removed[k], emptied[k] = sorted(drop), not now[k].strip(" \t\n\x0b\x0c\r")
             lines = pa.compute.add(pa.compute.count_substring(text, "\n"), 1).fill_null(0).cast(pa.int64())
             columns = list(b.columns)[:n]
             if now:

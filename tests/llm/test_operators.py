@@ -313,3 +313,47 @@ def test_stages_keep_rows_without_id_or_label(spark):
     assert sorted(r.text for r in langid.stage(d).collect()) == sorted(["one two three four five six"] * 2 + ["a clean text of its own"])
     assert sorted(((r.doc_id or 0), r.text) for r in near.stage(d.where("text is not null")).collect()) == [(0, "a clean text of its own"), (1, "one two three four five six"), (4, "12 34")]
     assert near.stage(d).columns == d.columns
+
+
+def brute_lines(rows):
+    """Places of the lines that an earlier one (doc_id, place) is like, by document."""
+    seen, where, want = [], defaultdict(list), {}
+    for doc, t in rows:
+        want[doc] = []
+        for k, x in enumerate((t or "").split("\n")):
+            s = set(WORD.findall(low(x)))
+            n = Counter(j for w in s for j in where[w])
+            if any(10 * b >= 8 * (len(s) + len(seen[j]) - b) for j, b in n.items()):
+                want[doc].append(k)
+            for w in s:
+                where[w].append(len(seen))
+            seen.append(s)
+    return want
+
+
+def test_lines_of_large_clusters(spark):
+    import random
+
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+
+    def copy(changes):
+        t = list(base)
+        for i in r.sample(range(40), changes):
+            t[i] = f"x{r.randrange(300)}"
+        return " ".join(t)
+
+    # the line that most others are like comes late; before it stand near misses of one another
+    rows = [(i, "\n".join(copy(r.choice([4, 5, 6, 7])) for _ in range(3))) for i in range(150)] + [(200, " ".join(base))]
+    rows += [(300 + i, "\n".join([copy(5), "the one common line of all documents", copy(6)])) for i in range(60)]
+    got = {x.doc_id: x.removed_lines for x in lines.query(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_lines_of_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "a b c d e f\nonly here", 7.5, 1), (2, "one line\na b c d e f", 7.5, 2), (2, "another text\na line of its own that stays", 7.5, 3), (None, "a b c d e f", 7.5, 4), (2, "one line\na b c d e f", 7.5, 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _removed double, doc int")
+    got = sorted(tuple(r) for r in lines.stage(d).collect() if r[0])
+    assert got == sorted([(1, "only here", 7.5, 1), (2, "one line", 7.5, 2), (2, "another text\na line of its own that stays", 7.5, 3), (2, "one line", 7.5, 2)])
+    assert [tuple(r) for r in lines.stage(d).collect() if not r[0]] == [(None, "a b c d e f", 7.5, 4)]
+    assert lines.stage(d).columns == d.columns
