@@ -6,8 +6,8 @@ Tokens are ordered by rarity: counts of all words are summed by hash in CELLS ce
 knows has a fixed bound), and rarer cells come first. Lines of equal sets are one class, reduced in each
 task first; the earliest stands for it. Prefix, length and positional filters and a 128-bit parity sketch
 (each differing token flips one bit) leave candidates, verified on whole sets: first the closest by sketch
-of the LOOK earliest of a line and prefix token, then, for lines still open that have others, all earlier
-ones of the token, in blocks of BLOCK by BLOCK lines that give only verified lines.
+of the LOOK earliest of a line and prefix token, then the others of those, then, for lines still open that
+have more, all earlier ones of the token, in blocks of BLOCK by BLOCK lines that give only verified lines.
 A null doc_id counts as the smallest; null text stays null and empty text empty. Rows with the same doc_id
 are told apart by their lines: lines with the same doc_id, place and set count as one, so a row repeated
 as it is keeps what its twin keeps. Extra columns are kept, whatever their names.
@@ -177,13 +177,13 @@ def postings(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, blobs.SCHEMA)
 
 
-def candidates(r: np.ndarray, look: int = LOOK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the records of a bucket, sorted by token, doc, line: group starts, ranks, the closest of the `look` earliest candidates of each (-1: none), and which have others."""
+def candidates(r: np.ndarray, look: int = LOOK) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For the records of a bucket, sorted by token, doc, line: group starts, ranks, the closest of the `look` earliest candidates of each (-1: none), all of those pairs (later, earlier), and which have more to try."""
     start = np.searchsorted(r["token"], r["token"]) if len(r) else np.zeros(0, np.int64)
     rank, count = np.arange(len(r)) - start, np.zeros(len(r), np.int32)
     size, pos, x, y = (np.ascontiguousarray(r[k]) for k in ("size", "pos", "x", "y"))
     best, least = np.full(len(r), -1), np.full(len(r), 1 << 30, np.int32)
-    more = np.zeros(len(r), bool)
+    more, out = np.zeros(len(r), bool), []
     live, e = np.flatnonzero(rank > 0), 0
     while len(live):
         i, j = start[live] + e, live
@@ -197,15 +197,17 @@ def candidates(r: np.ndarray, look: int = LOOK) -> tuple[np.ndarray, np.ndarray,
         d = np.bitwise_count(x[i] ^ x[j]).astype(np.int32) + np.bitwise_count(y[i] ^ y[j])
         ok = d <= far
         i, j, d = i[ok], j[ok], d[ok]
-        count[j] += 1
-        near = d < least[j]
-        best[j[near]], least[j[near]] = i[near], d[near]
+        if len(j):
+            count[j] += 1
+            near = d < least[j]
+            best[j[near]], least[j[near]] = i[near], d[near]
+            out.append((j, i))
         e += 1
         live = live[rank[live] > e]
         full = count[live] >= look
         more[live[full]] = True
         live = live[~full]
-    return start, rank, best, more | (count > 1)
+    return start, rank, best, out, more
 
 
 def classes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +235,7 @@ def classes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a line with the set of an earlier one; 1: a line and an earlier candidate; 2: the lines of a token with more to try (line0 its rank, doc0 the token's name, a0 whether it has more)."""
+    """kind 0: a line with the set of an earlier one; 1: a line and its closest candidate; 3: and another one; 2: the lines of a token with more to try (line0 its rank, doc0 the token's name, a0 whether it has more)."""
     for r in blobs.unpack(batches, _RECORD):
         r, d = classes(r)
         d = d[d["pos"] == 0]  # equal sets have equal prefixes
@@ -243,14 +245,18 @@ def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = t[1:][t[1:] == t[:-1]]
         r = r[np.isin(r["token"], t)]
         r = r[np.lexsort((r["line"], r["doc"], r["token"]))]
-        start, rank, best, more = candidates(r)
-        j = np.flatnonzero(best >= 0)
-        i = best[j]
-        _, one = np.unique(words.mix(r["a"][j]) + r["a"][i], return_index=True)  # one of each pair of sets
-        j, i = j[one], i[one]
-        for at in range(0, len(j), 1 << 16):
-            x, y = r[j[at : at + (1 << 16)]], r[i[at : at + (1 << 16)]]
-            yield _rows(1, x["doc"], x["line"], x["a"], y["doc"], y["line"], y["a"])
+        start, rank, best, found, more = candidates(r)
+        if not found:
+            continue
+        j, i = (np.concatenate(x) for x in zip(*found))
+        closest = best[j] == i
+        by = np.argsort(~closest, kind="stable")
+        j, i, closest = j[by], i[by], closest[by]
+        _, one = np.unique(words.mix(r["a"][j]) + r["a"][i], return_index=True)  # one of each pair of sets, if closest then as that
+        for kind, k in ((1, one[closest[one]]), (3, one[~closest[one]])):
+            for at in range(0, len(k), 1 << 16):
+                x, y = r[j[k[at : at + (1 << 16)]]], r[i[k[at : at + (1 << 16)]]]
+                yield _rows(kind, x["doc"], x["line"], x["a"], y["doc"], y["line"], y["a"])
         if more.any():
             m = np.flatnonzero(np.isin(start, start[more]))
             x = r[m]
@@ -325,12 +331,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(i).filter(m) for i in range(3)], names=line)
 
     found = scratch.write(blobs.dealt(postings(docs, level, buckets)).mapInArrow(joined, PAIR), "candidates")
-    pairs = found.where("kind = 1").drop("kind").distinct()
+    pair = [*line, "doc0", "line0", "a0"]
     member = found.where("kind = 2").select(F.col("doc0").alias("g"), F.col("line0").alias("o"), *line, (F.col("a0") > 0).alias("more"))
-    sets = scratch.write(whole_sets(docs, found.where("kind > 0").select(*line).union(found.where("kind = 1").select("doc0", "line0", "a0"))), "sets")
+    sets = scratch.write(whole_sets(docs, found.where("kind > 0").select(*line).union(found.where("kind in (1, 3)").select("doc0", "line0", "a0"))), "sets")
     earlier = sets.withColumnsRenamed({"doc": "doc0", "line": "line0", "a": "a0", "s": "s0"})
-    liked = pairs.join(sets, line).join(earlier, ["doc0", "line0", "a0"]).select(*line, "s", "s0").mapInArrow(same, LINE)
-    out = scratch.write(found.where("kind = 0").select(*line).union(liked).distinct(), "removed")
+    verified = lambda pairs: pairs.distinct().join(sets, line).join(earlier, ["doc0", "line0", "a0"]).select(*line, "s", "s0").mapInArrow(same, LINE)
+    out = scratch.write(found.where("kind = 0").select(*line).union(verified(found.where("kind = 1").select(*pair))).distinct(), "removed")
+    others = verified(found.where("kind = 3").select(*pair).join(out, line, "left_anti"))
+    out = scratch.write(out.union(others).distinct(), "removed_also")
     open_ = scratch.write(member.where("more").select(*line).distinct().join(out, line, "left_anti"), "open")
     if open_.limit(1).count():
         out = out.union(scratch.write(_rest(member, open_, sets), "removed_later"))
