@@ -272,31 +272,94 @@ def _blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(off) // 8
 
 
-def alike(s: pa.Array, t: pa.Array) -> np.ndarray:
-    """Whether the sets of each row have a similarity of 0.8 or more."""
-    (p, n), (q, m) = _blobs(s), _blobs(t)
-    h, row = np.r_[p, q], np.r_[np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)]
-    o = np.lexsort((h, row))
-    h, row = h[o], row[o]
-    both = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=len(n))
-    return 10 * both >= 8 * (n + m - both)
+def _checked(t: pa.Table) -> list[int]:
+    """The late rows of a group that an early one with a smaller o is like."""
+    late, o = t["late"].to_numpy(), t["o"].to_numpy()
+    first = np.flatnonzero(~late)
+    if not len(first) or late.sum() == 0:
+        return []
+    h, size = _blobs(t["s"].combine_chunks())
+    start = np.cumsum(size) - size
+    h, at = np.unique(h, return_inverse=True)
+    mine = np.concatenate([at[start[k] : start[k] + size[k]] for k in first])
+    cut, n, hit, out = np.cumsum(size[first]) - size[first], size[first], np.zeros(len(h), np.int32), []
+    for k in np.flatnonzero(late):
+        p = at[start[k] : start[k] + size[k]]
+        hit[p] = 1
+        x = np.add.reduceat(hit[mine], cut)
+        hit[p] = 0
+        if ((10 * x >= 8 * (n + size[k] - x)) & (o[first] < o[k])).any():
+            out.append(int(k))
+    return out
 
 
-def whole_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(doc, line, a, s): the sorted token hashes of the lines needed."""
+def verified(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, line, a) of the late lines that an early one of their group (g, ob, mb) with a smaller o is like, on whole sets."""
+    keys = ["g", "ob", "mb"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in words.parts(batches, "text", 4 << 20):
             s, doc, want = Sets(p.column(1)), p.column(0).to_numpy(), p.column(2)
             row = np.repeat(np.arange(len(want)), want.value_lengths().to_numpy())
             w = want.flatten()
             name = lambda row, line, a: words.mix(words.mix(row.astype(np.uint64) << np.uint64(32) | line.astype(np.uint64)) + a)
-            keep = np.flatnonzero(np.isin(name(s.row, s.line, s.a), name(row, w.field(0).to_numpy(), w.field(1).to_numpy().view(np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s.row[keep]]), pa.array(s.line[keep]), pa.array(s.a.view(np.int64)[keep]), pa.array([np.sort(s.h[s.at[i] : s.at[i] + s.size[i]]).tobytes() for i in keep], pa.binary())], names=["doc", "line", "a", "s"])
+            have = name(s.row, s.line, s.a)
+            by = np.argsort(have)
+            need = name(row, w.field(0).to_numpy(), w.field(1).to_numpy().view(np.uint64))
+            at = np.minimum(np.searchsorted(have[by], need), max(0, len(have) - 1))
+            ok = np.flatnonzero(have[by][at] == need) if len(have) else np.zeros(0, np.int64)  # else of another text of the doc_id
+            k = by[at[ok]] if len(have) else ok
+            for i in range(0, len(ok), 4096):
+                x, y = w.take(pa.array(ok[i : i + 4096])), k[i : i + 4096]
+                yield pa.RecordBatch.from_arrays([x.field(2), x.field(3), x.field(4), x.field(5), x.field(6), pa.array(doc[s.row[y]]), x.field(0), x.field(1), pa.array([s.h[s.at[j] : s.at[j] + s.size[j]].tobytes() for j in y], pa.binary())], names=[*keys, "o", "late", "doc", "line", "a", "s"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held)
+                if found := _checked(t):
+                    yield from t.take(pa.array(found, pa.int64())).select(["doc", "line", "a"]).combine_chunks().to_batches()
+
+        for b in batches:
+            k = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+            for i, j in zip(at[:-1], at[1:]):
+                if j > i:
+                    if key != (now := tuple(k[i].tolist())):
+                        yield from end()
+                        held.clear()
+                        key = now
+                    held.append(b.slice(i, j - i))
+        yield from end()
 
-    by = need.groupBy("doc").agg(F.collect_set(F.struct("line", "a")).alias("want"))
+    by = wanted.groupBy("doc").agg(F.collect_set(F.struct("line", "a", *keys, "o", "late")).alias("want"))
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    return texts.join(by, "doc").select("doc", "text", "want").mapInArrow(run, f"{LINE}, s binary")
+    sent = texts.join(by, "doc").select("doc", "text", "want").mapInArrow(sets, f"g long, ob long, mb long, o long, late boolean, {LINE}, s binary")
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(check, LINE).distinct()
+
+
+def _paired(pairs: DataFrame) -> DataFrame:
+    """Pairs as groups of an earlier line and at most BLOCK later ones."""
+    pairs = pairs.distinct().withColumn("g", F.xxhash64("doc0", "line0", "a0"))
+    part = F.row_number().over(Window.partitionBy("g").orderBy("doc", "line"))
+    pairs = pairs.withColumn("ob", (part / BLOCK).cast("long")).withColumn("mb", F.lit(-1).cast("long"))
+    key = ["g", "ob", "mb"]
+    early = pairs.select(*key, F.lit(0).cast("long").alias("o"), F.lit(False).alias("late"), F.col("doc0").alias("doc"), F.col("line0").alias("line"), F.col("a0").alias("a")).distinct()
+    return early.union(pairs.select(*key, F.lit(1).cast("long"), F.lit(True), "doc", "line", "a"))
+
+
+def _blocked(member: DataFrame, open_: DataFrame) -> DataFrame:
+    """The lines of the tokens of open lines, as groups of a block of open lines and a block of earlier ones."""
+    line = ["doc", "line", "a"]
+    div = (F.col("o") / BLOCK).cast("long")
+    later = member.where("more").join(open_, line, "left_semi").select("g", "o", *line, div.alias("ob"))
+    last = later.groupBy("g").agg(F.max("o").alias("last"), F.collect_set("ob").alias("obs"))
+    early = member.join(last, "g").where("o < last").select("g", F.explode("obs").alias("ob"), div.alias("mb"), "o", F.lit(False).alias("late"), *line)
+    side = later.select("g", "ob", F.explode(F.expr("sequence(0L, ob)")).alias("mb"), "o", F.lit(True).alias("late"), *line)
+    return early.where("mb <= ob").union(side)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -325,78 +388,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             yield out
         yield from done
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = pa.array(alike(b.column(3), b.column(4)))
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(m) for i in range(3)], names=line)
-
     found = scratch.write(blobs.dealt(postings(docs, level, buckets)).mapInArrow(joined, PAIR), "candidates")
     pair = [*line, "doc0", "line0", "a0"]
-    member = found.where("kind = 2").select(F.col("doc0").alias("g"), F.col("line0").alias("o"), *line, (F.col("a0") > 0).alias("more"))
-    sets = scratch.write(whole_sets(docs, found.where("kind > 0").select(*line).union(found.where("kind in (1, 3)").select("doc0", "line0", "a0"))), "sets")
-    earlier = sets.withColumnsRenamed({"doc": "doc0", "line": "line0", "a": "a0", "s": "s0"})
-    verified = lambda pairs: pairs.distinct().join(sets, line).join(earlier, ["doc0", "line0", "a0"]).select(*line, "s", "s0").mapInArrow(same, LINE)
-    out = scratch.write(found.where("kind = 0").select(*line).union(verified(found.where("kind = 1").select(*pair))).distinct(), "removed")
-    others = verified(found.where("kind = 3").select(*pair).join(out, line, "left_anti"))
-    out = scratch.write(out.union(others).distinct(), "removed_also")
-    open_ = scratch.write(member.where("more").select(*line).distinct().join(out, line, "left_anti"), "open")
+    gone = scratch.write(found.where("kind = 0").select(*line).union(verified(docs, _paired(found.where("kind = 1").select(*pair)))).distinct(), "removed")
+    open_ = scratch.write(found.where("kind = 3 or kind = 2 and a0 > 0").select(*line).distinct().join(gone, line, "left_anti"), "open")
     if open_.limit(1).count():
-        out = out.union(scratch.write(_rest(member, open_, sets), "removed_later"))
-    scratch.drop(found, sets, open_)
-    return out
-
-
-def _rest(member: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """The open lines that any earlier line of their tokens is like, by blocks of each token's lines."""
-    line = ["doc", "line", "a"]
-    later = member.where("more").join(open_, line, "left_semi").select("g", "o", *line, F.expr(f"o div {BLOCK}").alias("ob"))
-    last = later.groupBy("g").agg(F.max("o").alias("last"), F.collect_set("ob").alias("obs"))
-    early = member.join(last, "g").where("o < last").select("g", F.explode("obs").alias("ob"), F.expr(f"o div {BLOCK}").alias("mb"), "o", *line, F.lit(False).alias("late"))
-    side = later.select("g", "ob", F.explode(F.expr("sequence(0L, ob)")).alias("mb"), "o", *line, F.lit(True).alias("late"))
-    both = early.where("mb <= ob").union(side).join(sets, line).select("g", "ob", "mb", "o", "late", *line, "s")
-
-    def check(b: pa.Table) -> list[int]:
-        late, o = b["late"].to_numpy(), b["o"].to_numpy()
-        if late.all():
-            return []
-        h, size = _blobs(b["s"].combine_chunks())
-        start = np.cumsum(size) - size
-        first = np.flatnonzero(~late)
-        h, at = np.unique(h, return_inverse=True)
-        mine = np.concatenate([at[start[k] : start[k] + size[k]] for k in first])
-        cut, n, hit, out = np.cumsum(size[first]) - size[first], size[first], np.zeros(len(h), np.int32), []
-        for k in np.flatnonzero(late):
-            p = at[start[k] : start[k] + size[k]]
-            hit[p] = 1
-            x = np.add.reduceat(hit[mine], cut)
-            hit[p] = 0
-            if ((10 * x >= 8 * (n + size[k] - x)) & (o[first] < o[k])).any():
-                out.append(int(k))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def end() -> Iterator[pa.RecordBatch]:
-            if held:
-                t = pa.Table.from_batches(held)
-                yield from t.take(pa.array(check(t), pa.int64())).select(line).combine_chunks().to_batches()
-
-        for b in batches:
-            k = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-            at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
-            for i, j in zip(at[:-1], at[1:]):
-                if j > i:
-                    if key != (now := tuple(k[i].tolist())):
-                        yield from end()
-                        held.clear()
-                        key = now
-                    held.append(b.slice(i, j - i))
-        yield from end()
-
-    keys = ["g", "ob", "mb"]
-    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINE).distinct()
+        others = found.where("kind = 3").select(*pair).join(open_, line, "left_semi")
+        member = found.where("kind = 2").select(F.col("doc0").alias("g"), F.col("line0").cast("long").alias("o"), *line, (F.col("a0") > 0).alias("more"))
+        gone = gone.union(scratch.write(verified(docs, _paired(others).union(_blocked(member, open_))), "removed_later"))
+    scratch.drop(found, open_)
+    return gone
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
