@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chronolap.llm import words
+
 SCHEMA = "bucket int, records binary"
 
 
@@ -56,6 +58,7 @@ def unpack(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.nd
             if bucket != now and held:
                 yield np.concatenate(held)
                 held = []
+                words.release()
             now = bucket
             held.append(_array(blob, dtype))
     if held:

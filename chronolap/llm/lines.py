@@ -184,29 +184,33 @@ def candidates(r: np.ndarray, look: int = LOOK) -> tuple[np.ndarray, np.ndarray,
     size, pos, x, y = (np.ascontiguousarray(r[k]) for k in ("size", "pos", "x", "y"))
     best, least = np.full(len(r), -1), np.full(len(r), 1 << 30, np.int32)
     more, out = np.zeros(len(r), bool), []
-    live, e = np.flatnonzero(rank > 0), 0
-    while len(live):
-        i, j = start[live] + e, live
-        s, t = size[i], size[j]
-        ok = 5 * np.minimum(s, t) >= 4 * np.maximum(s, t)
-        i, j, s, t = i[ok], j[ok], s[ok], t[ok]
+    live = np.argsort(-rank, kind="stable")  # those of the highest rank first, so the ones with an e-th record are a head
+    above, low, high, first = -rank[live], (4 * size[live] + 4) // 5, 5 * size[live] // 4, start[live]
+    e = ended = 0
+    while n := int(np.searchsorted(above, -e)):
+        s = size[first[:n] + e]
+        k = np.flatnonzero((s >= low[:n]) & (s <= high[:n]))
+        i, j = first[k] + e, live[k]
+        s, t, p, q = s[k], size[j], pos[i], pos[j]
         need = (4 * (s + t) + 8) // 9
-        p, q = pos[i], pos[j]
-        ok = 1 + np.minimum(s - p - 1, t - q - 1) + np.minimum(p, q) >= need
-        i, j, far = i[ok], j[ok], (s + t - 2 * need)[ok]
+        k = np.flatnonzero((1 + np.minimum(s - p - 1, t - q - 1) + np.minimum(p, q) >= need) & ~more[j])
+        i, j, far = i[k], j[k], (s + t - 2 * need)[k]
         d = np.bitwise_count(x[i] ^ x[j]).astype(np.int32) + np.bitwise_count(y[i] ^ y[j])
         ok = d <= far
-        i, j, d = i[ok], j[ok], d[ok]
-        if len(j):
+        if ok.any():
+            i, j, d = i[ok], j[ok], d[ok]
             count[j] += 1
             near = d < least[j]
             best[j[near]], least[j[near]] = i[near], d[near]
             out.append((j, i))
+            full = j[(count[j] == look) & (rank[j] > e + 1)]
+            more[full] = True
+            ended += len(full)
+            if 8 * ended > n:
+                keep = ~more[live]
+                live, above, low, high, first = live[keep], above[keep], low[keep], high[keep], first[keep]
+                ended = 0
         e += 1
-        live = live[rank[live] > e]
-        full = count[live] >= look
-        more[live[full]] = True
-        live = live[~full]
     return start, rank, best, out, more
 
 

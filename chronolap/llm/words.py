@@ -8,6 +8,8 @@ different words collide with a chance of about 2**-64 for each pair.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,10 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _BLOCK = 1 << 19
 _POWERS = {}
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +129,14 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return s
 
 
+def release() -> None:
+    """Give memory that is free back to the system; workers that go from task to task would keep it."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that the text of each stays near the limit in bytes (a row is never cut)."""
     for b in batches:
@@ -130,6 +144,8 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             continue
         _, off = buffers(b.column(b.schema.get_field_index(column)))
         i = 0
+        if b.nbytes > limit:
+            release()
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
             yield b.slice(i, j - i)
