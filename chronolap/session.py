@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 #: Bytes of an Arrow batch between the JVM and Python; long texts fill it before its rows do.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "chronolap", **conf: str) -> SparkSession:
