@@ -1,17 +1,19 @@
 """Operator 5, near-duplicate passages by compact windows, verified and removed after the first.
 
-Tokens are shingles of SHINGLE words. For each of HASHES functions a Cartesian tree, cut where fewer
-than LEAST tokens remain, gives the compact windows: all passages inside [lo, hi) that contain the
-centre share its min-hash. Windows of equal value and equal tokens are one class: all link to its earliest,
-which stands for the class beside others. Two classes of equal value are candidates if NEED of the tokens
-around one centre are around the other; a link has that many, as it holds a link of fewer than 2 * LEAST
-tokens. Each class links to its earliest and its last earlier candidate, then, unless what was found
-covers its whole window, to all of them. Linked documents are verified on the texts: a passage of the later
-document counts when at least 0.8 of LEAST or more of its tokens in a row (gaps of at most GAP) occur
-within a stretch of like length of the earlier one. A text equal to an earlier one, if it has LEAST
-tokens, is such a passage as a whole. Earlier: the smaller doc_id, then the place. Null
-or short texts keep all words. Words of a found passage are removed, and the rest stays as it is;
-rows with the same doc_id are told apart by nothing, so ids should be unique. Extra columns are kept.
+Tokens are shingles of SHINGLE words. For each of HASHES functions the Cartesian tree of the token hashes,
+cut where fewer than LEAST tokens remain, gives the compact windows: all passages inside [lo, hi) that
+contain the centre share its min-hash. Windows of equal value and equal tokens are one class: the tokens
+of each but the earliest repeat it and are found. The classes of a value meet by the intervals of REACH
+tokens around their centres: each is compared with the earliest class of its value and then, as long as
+any of its tokens is not yet found, with every earlier class that holds such a token. In a comparison a
+token is a hit if the earlier class has it within DRIFT places of the same distance to the centre; where
+0.8 or more of LEAST tokens in a row are hits, these are found, from the first hit to the last. Earlier:
+the smaller doc_id, then the place. So an exact repeat of LEAST tokens (50 words) is always found, and one at
+a similarity of 0.8 with a chance of 1 - 0.2 ** HASHES for each of its stretches.
+Words of found passages are removed with the white space after each; the rest stays as it is. Null, empty
+and short texts keep all words, as do rows without a doc_id, which are compared with none. Rows with the
+same doc_id are told apart by their texts; a row repeated as it is counts as one and is cut like its twin.
+In a run of equal words every sixteenth window stands for those between. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -20,89 +22,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolap.llm import blobs, scratch, words
 
-SHINGLE, LEAST, HASHES, GAP = 5, 46, 4, 12
-REACH, DRIFT = LEAST - 1, 2 * GAP  # tokens on either side of a centre that are compared, and those more of the earlier text
-NEED = LEAST - (2 * LEAST - 1) // 5  # hits among them, if a fifth of a link of at most 2 * LEAST - 1 tokens are none
-_RECORD = np.dtype([("v", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("c", "<i4"), ("hi", "<i4")])
-_NEAR = np.dtype([("v", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("c", "<i4"), ("hi", "<i4"), ("t", "<u2", (2 * (REACH + DRIFT) + 1,))])
-_OPEN = np.dtype([("v", "<u8"), ("doc", "<i8"), ("c", "<i4")])
+SHINGLE, LEAST, HASHES = 5, 46, 4
+REACH, DRIFT, SHARE, EVERY, SEEN = LEAST - 1, 10, 0.8, 16, 1 << 18
+FAR, WIDE = REACH + DRIFT, 2 * (REACH + DRIFT) + 1
+_RECORD = np.dtype([("v", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("key", "<u4"), ("lo", "<i4"), ("c", "<i4"), ("hi", "<i4")])
+_NEAR = np.dtype([("v", "<u8"), ("doc", "<i8"), ("key", "<u4"), ("c", "<i4"), ("t", "<u2", (WIDE,)), ("u", "u1", (WIDE,))])  # t and u: 24 bits of each token
 _SEEDS = np.random.default_rng(11).integers(1, 2**62, HASHES, dtype=np.uint64)
+FOUND = "doc long, key long, v long, lo int, c int, hi int"
 
 
-def windows(h: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Compact windows (lo, centre, hi) of at least `least` tokens."""
-    out, todo = [], [(0, len(h))]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo >= least:
-            c = lo + int(h[lo:hi].argmin())
-            out.append((lo, c, hi))
-            todo += ((lo, c), (c + 1, hi))
-    return out
-
+def _least(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n values in a row."""
+    w = 1
+    while 2 * w <= n:
+        h = np.minimum(h[:-w], h[w:])
+        w *= 2
+    return np.minimum(h[: len(h) - (n - w)], h[n - w :]) if n > w else h
 
-def chains(a: np.ndarray, b: np.ndarray, same: bool, gap: int = GAP, order: np.ndarray | None = None) -> list[np.ndarray]:
-    """Places of b, rising, that follow one another on near diagonals of a, every occurrence of a token counted."""
-    order = np.argsort(a, kind="stable") if order is None else order
-    s = a[order]
-    lo = np.searchsorted(s, b)
-    n = np.searchsorted(s, b, side="right") - lo
-    at = np.repeat(np.arange(len(b)), n)
-    where = order[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    if same:
-        at, where = at[where < at], where[where < at]
-    if not len(at):
-        return []
-    # Points of one band of diagonals with gaps of at most `gap` are one segment; two bandings, half a band
-    # apart, share points, and segments that share one are one chain.
-    wide, segment = 4 * gap, []
-    for shift in (0, wide // 2):
-        band = (where - at + len(b) + shift) // wide
-        by = np.lexsort((at, band))
-        new = np.r_[True, (np.diff(band[by]) != 0) | (np.diff(at[by]) > gap)]
-        k = np.empty(len(at), np.int64)
-        k[by] = np.cumsum(new) - 1
-        segment.append(k)
-    top = np.arange(segment[0].max() + 1)
-    low = np.full(segment[1].max() + 1, len(top))
-    while True:  # the smallest first-banding segment that each can reach
-        np.minimum.at(low, segment[1], top[segment[0]])
-        new = top.copy()
-        np.minimum.at(new, segment[0], low[segment[1]])
-        if (new == top).all():
-            break
-        top = new
-    chain = top[segment[0]]
-    key = np.unique(chain * np.int64(len(b)) + at)
-    chain, at = key // len(b), key % len(b)
-    return np.split(at, np.flatnonzero((np.diff(chain) != 0) | (np.diff(at) > gap)) + 1)
-
-
-def stretches(at: np.ndarray, least: int = LEAST, share: float = 0.8) -> list[tuple[int, int]]:
-    """Union of the stretches of at least `least` tokens, from a hit to a hit, in which at least that share are hits."""
-    g = np.arange(len(at)) - share * at
-    best = np.maximum.accumulate(g[::-1])  # rises from the last hit to the first
-    end = len(at) - 1 - np.searchsorted(best, g - (1 - share) - 1e-9)  # the last hit that a stretch from here can end on
-    out: list[tuple[int, int]] = []
-    for s, e in zip(at.tolist(), (at[end] + 1).tolist()):
-        if e - s >= least:
-            if out and s <= out[-1][1]:
-                out[-1] = out[-1][0], max(e, out[-1][1])
-            else:
-                out.append((s, e))
-    return out
 
+def windows(h: np.ndarray, ends: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Compact windows (lo, centre, hi), as columns, of at least `least` tokens of the texts that end at `ends`.
 
-def passages(a: np.ndarray, b: np.ndarray, same: bool, least: int = LEAST, gap: int = GAP, share: float = 0.8, order: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Token ranges of b that repeat a passage of a (of its own earlier text, if same). order: that sorts a."""
-    if len(a) < least or len(b) < least:
-        return []
-    return sorted({x for r in chains(a, b, same, gap, order) if len(r) >= share * least for x in stretches(r, least, share)})
+    A centre is the leftmost least token of its window. Among centres of equal value of which each is the
+    next one's left limit, every EVERY-th place is kept.
+    """
+    h = h >> np.uint64(1)
+    sizes = np.diff(np.r_[0, ends])
+    n = len(h) + len(ends) + 1
+    x = np.zeros(n, np.uint64)  # with a 0, below every token, before and after each text
+    place = np.arange(len(h)) + np.repeat(np.arange(1, len(ends) + 1), sizes)
+    x[place] = h | np.uint64(1)
+    if n < least:
+        return np.zeros((0, 3), np.int64)
+    # a token is a centre if it is the least of some `least` tokens in a row: the largest of their least values
+    low = ~_least(x, least)
+    top = ~_least(np.r_[np.full(least - 1, 2**64 - 1, np.uint64), low, np.full(least - 1, 2**64 - 1, np.uint64)], least)
+    c = np.flatnonzero((x == top) & (x > 0))
+    v, left, right = x[c], c.copy(), c.copy()
+    table = [x]
+    while (1 << len(table)) < max(2, int(sizes.max(initial=0)) + 2):
+        w = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-w], table[-1][w:]))
+    for k in range(len(table) - 1, -1, -1):  # as far as all tokens passed are greater (left) or not less (right)
+        w, t = 1 << k, table[k]
+        a = left - w
+        left = np.where((a >= 0) & (t[np.clip(a, 0, len(t) - 1)] > v), a, left)
+        a = right + 1
+        right = np.where((a < len(t)) & (t[np.clip(a, 0, len(t) - 1)] >= v), right + w, right)
+    ok = right + 1 - left >= least
+    left, c, right, v = left[ok], c[ok], right[ok], v[ok]
+    tie = np.r_[False, (v[1:] == v[:-1]) & (left[1:] == c[:-1] + 1)]
+    run = np.maximum.accumulate(np.where(tie, 0, np.arange(len(c))))
+    step = (c - c[run]) // EVERY
+    keep = ~tie | (step != np.r_[0, step[:-1]])
+    text = np.searchsorted(ends + np.arange(1, len(ends) + 1), c, side="left")
+    return (np.stack([left, c, right + 1], axis=1) - (text + 1)[:, None])[keep]
 
 
 def contents(s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -112,253 +92,332 @@ def contents(s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return words.mix((sums[hi] - sums[lo]) * inverse[lo] + words.mix((hi - lo).astype(np.uint64)))
 
 
-def around(s: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """16 bits of each token around the centres, 0 beyond the text."""
-    far = REACH + DRIFT
-    t = np.zeros(len(s) + 2 * far, np.uint16)
-    t[far : far + len(s)] = np.maximum(words.mix(s) >> np.uint64(48), np.uint64(1))
-    return np.lib.stride_tricks.sliding_window_view(t, 2 * far + 1)[c]
+def tokens(p: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all texts one after another, and where each text ends."""
+    w = words.Words(p.column(p.schema.get_field_index("text")))
+    if not len(w.h):
+        return w.h, np.zeros(len(w.first) - 1, np.int64)
+    n = np.maximum(np.diff(w.first) - SHINGLE + 1, 0)
+    s = words.shingles(w.h, SHINGLE)
+    at = np.repeat(w.first[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return (s[at] if len(at) else s[:0]), np.cumsum(n)
 
 
-def candidates(t: np.ndarray, later: np.ndarray, ends: bool = False) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """Each of the rows `later` with the rows before it around whose centre NEED of its tokens are, and whether that is all.
+def hits(earlier: np.ndarray, later: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Which of the REACH tokens around each later centre the earlier one has within DRIFT places of that distance.
 
-    With ends, the earliest and the last of them will do.
+    limit: the shift must be less than this (a text repeats only what stands before).
     """
-    mine = t[:, DRIFT:-DRIFT]
-    seen = np.sort(t, axis=1)
-    seen[:, 1:][seen[:, 1:] == seen[:, :-1]] = 0
-    row, col = np.nonzero(seen)
-    token = seen[row, col]
-    order = np.argsort(token, kind="stable")
-    row = row[order].astype(np.int32)
-    n = np.bincount(token, minlength=1 << 16)
-    first = np.cumsum(n) - n
-    del col, token, order
-    times = np.zeros(1 << 16, np.int32)
-    for j in later[(n[mine[later]] > 1).sum(axis=1) >= NEED].tolist():
-        x, k = np.unique(mine[j][mine[j] > 0], return_counts=True)
-        times[x] = k
-        near = lambda i: i[times[seen[i]].sum(axis=1) >= NEED]  # noqa: B023, E731
-        found, whole = np.zeros(0, np.int64), False
-        if ends and j > 1024:
-            low, high = near(np.arange(256)), near(np.arange(j - 256, j))
-            if len(low) and len(high):
-                found = np.array([low[0], high[-1]])
-        if not len(found):
-            # a row with NEED of the tokens has one of any len - NEED + 1 of them, so the most frequent are left out
-            by = np.argsort(n[x], kind="stable")
-            rare = x[by[: np.searchsorted(np.cumsum(k[by]), k.sum() - NEED + 1) + 1]]
-            hit = np.zeros(len(t), bool)
-            for v in rare[n[rare] > 1].tolist():
-                hit[row[first[v] : first[v] + n[v]]] = True
-            i = np.flatnonzero(hit[:j])
-            found, whole = np.concatenate([near(i[at : at + 4096]) for at in range(0, len(i), 4096)] or [i]), True
-        times[x] = 0
-        if len(found):
-            yield j, found, whole
+    mine = later[:, DRIFT:-DRIFT]
+    out = np.zeros(mine.shape, bool)
+    for shift in range(-DRIFT, DRIFT + 1):
+        same = mine == earlier[:, DRIFT + shift : WIDE - DRIFT + shift]
+        if shift >= 0:
+            same &= (limit > shift)[:, None]
+        out |= same
+    return out & (mine > 0)
+
+
+def stretches(hit: np.ndarray, least: int = LEAST, share: float = SHARE) -> np.ndarray:
+    """The tokens, from the first hit to the last, of the runs of stretches of `least` tokens of which that share are hits."""
+    out = np.zeros(hit.shape, bool)
+    whole = hit.all(axis=1)
+    out[whole] = True
+    some = np.flatnonzero((hit.sum(axis=1) >= share * least) & ~whole)
+    if not len(some):
+        return out
+    x, wide = hit[some], hit.shape[1]
+    total = np.zeros((len(x), wide + 1), np.int16)
+    np.cumsum(x, axis=1, out=total[:, 1:])
+    ok = total[:, least:] - total[:, :-least] >= share * least
+    edge = np.zeros((len(x), wide + 1), np.int8)
+    edge[:, : wide + 1 - least] += ok
+    edge[:, least:] -= ok
+    inside = np.cumsum(edge[:, :-1], axis=1, dtype=np.int16) > 0
+    # what stands in a run before its first hit or after its last is none of it
+    place = np.arange(wide)
+    before = np.maximum.accumulate(np.where(x, place, -1), axis=1) > np.maximum.accumulate(np.where(inside, -1, place), axis=1)
+    after = np.minimum.accumulate(np.where(x, place, wide)[:, ::-1], axis=1)[:, ::-1] < np.minimum.accumulate(np.where(inside, wide, place)[:, ::-1], axis=1)[:, ::-1]
+    out[some] = inside & before & after
+    return out
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and the word ranges (starts, ends) that repeat an earlier passage, for documents that have any."""
-    spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in words.parts(batches, "text", 4 << 20):
-            w, rows = words.Words(p.column(1)), []
-            for i, doc in enumerate(p.column(0).to_pylist()):
-                s = words.shingles(w.h[w.first[i] : w.first[i + 1]], SHINGLE)
-                if doc is None or len(s) < LEAST:
-                    continue
-                for seed in _SEEDS:
-                    h = words.mix(s ^ seed)
-                    x = np.array(windows(h), dtype=np.int64)
-                    r = np.empty(len(x), _RECORD)
-                    r["v"], r["doc"], r["lo"], r["c"], r["hi"] = words.mix(h[x[:, 1]] + seed), doc, x[:, 0], x[:, 1], x[:, 2]
-                    r["k"] = contents(s, x[:, 0], x[:, 2])
-                    rows.append(r)
-            if rows:
-                yield from blobs.pack(np.concatenate(rows), "v", buckets)
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = blobs.unpack(batches, _RECORD)
-        r = r[np.lexsort((r["lo"], r["doc"], r["k"], r["v"]))]
+def compare(r: np.ndarray) -> np.ndarray:
+    """The found tokens around each centre, for classes sorted by value, document, key and centre."""
+    start = np.searchsorted(r["v"], r["v"])
+    found = np.zeros((len(r), WIDE - 2 * DRIFT), bool)
+    text = r["t"].astype(np.uint32) | (r["u"].astype(np.uint32) << np.uint32(16))
+
+    def test(i: np.ndarray, j: np.ndarray) -> None:
+        for at in range(0, len(j), 4096):
+            a, b = i[at : at + 4096], j[at : at + 4096]
+            same = (r["doc"][a] == r["doc"][b]) & (r["key"][a] == r["key"][b])
+            limit = np.where(same, r["c"][b] - r["c"][a], DRIFT + 1)
+            got = stretches(hits(text[a], text[b], limit))
+            cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+            found[b[cut]] |= np.logical_or.reduceat(got, cut, axis=0)
+
+    j = np.flatnonzero(start < np.arange(len(r)))
+    test(start[j], j)
+    # the other classes of the value that hold a token not found yet, from the earliest on
+    several = np.flatnonzero(np.bincount(start, minlength=len(r))[start] > 2)
+    if not len(several):
+        return found
+    mine = text[several, DRIFT:-DRIFT]
+    row, col = np.nonzero(mine)
+    name = words.mix(mine[row, col].astype(np.uint64) << np.uint64(32) | start[several][row].astype(np.uint64))
+    bits = np.uint64(max(1, len(row).bit_length()))
+    packed = np.sort((name >> bits << bits) | np.arange(len(row), dtype=np.uint64))
+    name, entry = packed >> bits, (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    row, col = several[row[entry]], col[entry]  # by token, then by row
+    new = np.r_[True, name[1:] != name[:-1]]
+    once = new | np.r_[True, row[1:] != row[:-1]]  # a row may have a token more than once
+    holder, of = row[once], np.cumsum(once) - 1  # the rows of each token, and each place's number there
+    first = np.maximum.accumulate(np.where(new[once], np.arange(len(holder)), 0))
+    # a stretch that is still to be found has only tokens as hits that an earlier row has
+    held = np.zeros(found.shape, bool)
+    earlier = of > first[of]
+    held[row[earlier], col[earlier]] = True
+    held[several] = stretches(held[several])
+    at = np.flatnonzero(earlier & held[row, col] & ~found[row, col])
+    ptr, step = first.copy(), 1
+    while len(at):
+        now = np.zeros(len(holder), bool)
+        now[of[at]] = True
+        now = np.flatnonzero(now)
+        n = np.minimum(step, now - ptr[now])
+        k = np.repeat(np.arange(len(now)), n)
+        i, j = holder[ptr[now][k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)], holder[now][k]
+        ptr[now] += n
+        pair = np.sort((j * np.int64(len(r)) + i)[i != start[j]])
+        pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
+        test(pair % len(r), pair // len(r))
+        at = at[(ptr[of[at]] < of[at]) & ~found[row[at], col[at]]]
+        step = min(2 * step, 1024)
+    return found
+
+
+def _spans(found: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, key, first and end token of each run of found tokens."""
+    edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, s = np.nonzero(edge == 1)
+    _, e = np.nonzero(edge == -1)
+    base = r["c"][row] - REACH
+    return r["doc"][row], r["key"][row].astype(np.int64), base + s, base + e
+
+
+def merged(doc: np.ndarray, key: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ranges of each text, joined where they meet."""
+    if not len(doc):
+        return doc, key, s, e
+    o = np.lexsort((s, key, doc))
+    doc, key, s, e = doc[o], key[o], s[o].astype(np.int64), e[o].astype(np.int64)
+    text = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+    end = np.maximum.accumulate(e + (text << 32))
+    new = np.r_[True, s[1:] + (text[1:] << 32) > end[:-1]]
+    return doc[new], key[new], s[new], (end[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]] - (text[new] << 32))
+
+
+def _rows(doc, key, s, e, v=None, c=None) -> pa.RecordBatch:
+    none = pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(doc)), pa.array(np.asarray(key).astype(np.int64)), none[0] if v is None else pa.array(np.ascontiguousarray(v).view(np.int64)), pa.array(np.asarray(s).astype(np.int32)), none[1] if c is None else pa.array(np.ascontiguousarray(c)), pa.array(np.asarray(e).astype(np.int32))], names=["doc", "key", "v", "lo", "c", "hi"])
+
+
+def find(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blobs of the windows; ranges of those that repeat one of the same task come in buckets below 0."""
+    seen: list[dict] = [{}, {}]  # classes met more than once in this task, and their earliest window
+    for p in words.parts(batches, "text", 4 << 20):
+        s, ends = tokens(p)
+        ids, keys = p.column(0), p.column(2).to_numpy().view(np.uint64).astype(np.uint32)
+        valid = ids.is_valid().to_numpy(zero_copy_only=False)
+        doc = ids.fill_null(0).to_numpy().astype(np.int64)
+        sizes = np.diff(np.r_[0, ends])
+        some = []
+        for seed in _SEEDS:
+            h = words.mix(s ^ seed)
+            x = windows(h, ends)
+            starts = ends - sizes
+            text = np.searchsorted(ends, x[:, 1], side="right")
+            x, text = x[valid[text]], text[valid[text]]
+            r = np.empty(len(x), _RECORD)
+            r["v"], r["k"] = words.mix(h[x[:, 1]] + seed), contents(s, x[:, 0], x[:, 2])
+            r["doc"], r["key"] = doc[text], keys[text]
+            for name, k in (("lo", 0), ("c", 1), ("hi", 2)):
+                r[name] = x[:, k] - starts[text]
+            some.append(r)
+        r = np.concatenate(some) if some else np.zeros(0, _RECORD)
         if not len(r):
-            return
+            continue
+        r = r[np.lexsort((r["lo"], r["key"], r["doc"], r["k"], r["v"]))]
         first = np.r_[True, (r["v"][1:] != r["v"][:-1]) | (r["k"][1:] != r["k"][:-1])]
         head = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-        pairs = np.unique(np.stack([r["doc"][head[~first]], r["doc"][~first]], 1), axis=0)
-        none = pa.nulls(len(pairs), pa.int64()), *[pa.nulls(len(pairs), pa.int32())] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *none], names=["a", "b", "v", "lo", "c", "hi"])
+        keep, often = first.copy(), np.flatnonzero(np.bincount(head, minlength=len(r)) > 1)
+        if len(seen[0]) > SEEN:
+            seen = [{}, seen[0]]
+        now, old = seen
+        hot = np.isin(r["k"], np.fromiter((k[1] for k in (*now, *old)), np.uint64, len(now) + len(old))) & first
+        hot[often] = True
+        many = set(often.tolist())
+        for i in np.flatnonzero(hot).tolist():
+            k, mine = (int(r["v"][i]), int(r["k"][i])), (int(r["doc"][i]), int(r["key"][i]), int(r["lo"][i]))
+            was = now.get(k) or old.get(k)
+            if was is not None and was < mine:
+                keep[i] = False
+                now[k] = was
+            elif i in many or was is not None:
+                now[k] = mine
+        twin = ~first & (r["doc"] == r["doc"][head]) & (r["key"] == r["key"][head]) & (r["lo"] == r["lo"][head])
+        gone = r[~keep & ~twin]
+        if len(gone):
+            d, k, lo, hi = merged(gone["doc"], gone["key"].astype(np.int64), gone["lo"], gone["hi"])
+            b = np.empty(len(d), _RECORD)
+            b["doc"], b["key"], b["lo"], b["hi"], b["v"], b["k"], b["c"] = d, k, lo, hi, 0, 0, 0
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(gone["k"][0] % np.uint64(buckets))], pa.int32()), pa.array([blobs._bytes(b)], pa.binary())], names=["bucket", "records"])
+        yield from blobs.pack(r[keep], r["v"][keep], buckets)
+
+
+def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ranges that equal windows repeat (without v), and the earliest window of each class of the values that have several."""
+    done: list[pa.RecordBatch] = []
+
+    def others() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).to_numpy() < 0
+            for blob in b.column(1).filter(pa.array(own)).to_pylist():
+                g = blobs._array(blob, _RECORD)
+                done.append(_rows(g["doc"], g["key"], g["lo"], g["hi"]))
+            yield b.filter(pa.array(~own))
+
+    for r in blobs.unpack(others(), _RECORD):
+        yield from done
+        done.clear()
+        o = np.argsort(r["v"])
+        v = r["v"][o]
+        several = np.r_[False, v[1:] == v[:-1]]
+        several[:-1] |= several[1:]
+        r = r[o[several]]
+        if not len(r):
+            continue
+        r = r[np.lexsort((r["lo"], r["key"], r["doc"], r["k"], r["v"]))]
+        first = np.r_[True, (r["v"][1:] != r["v"][:-1]) | (r["k"][1:] != r["k"][:-1])]
+        head = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+        twin = (r["doc"] == r["doc"][head]) & (r["key"] == r["key"][head]) & (r["lo"] == r["lo"][head])
+        g = r[~first & ~twin]
+        if len(g):
+            yield _rows(*merged(g["doc"], g["key"].astype(np.int64), g["lo"], g["hi"]))
         r = r[first]
-        _, n = np.unique(r["v"], return_counts=True)
-        r = r[np.repeat(n, n) > 1]
+        several = np.r_[False, r["v"][1:] == r["v"][:-1]]
+        several[:-1] |= several[1:]
+        r = r[several]
         for at in range(0, len(r), 1 << 16):
             x = r[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), *(pa.array(v.copy()) for v in (x["doc"], x["v"].copy().view(np.int64), x["lo"], x["c"], x["hi"]))], names=["a", "b", "v", "lo", "c", "hi"])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in words.parts(batches, "text", 1 << 20):
-            w, rows = words.Words(p.column(1)), []
-            for i, (doc, x) in enumerate(zip(p.column(0).to_pylist(), p.column(2).to_pylist())):
-                s = words.shingles(w.h[w.first[i] : w.first[i + 1]], SHINGLE)
-                x = [y for y in x if y["hi"] <= len(s)]
-                r = np.zeros(len(x), _NEAR)
-                r["v"] = np.array([y["v"] for y in x], np.int64).view(np.uint64)
-                r["doc"], r["lo"], r["c"], r["hi"] = doc, [y["lo"] for y in x], [y["c"] for y in x], [y["hi"] for y in x]
-                r["t"] = around(s, r["c"])
-                rows.append(r)
-            yield from blobs.pack(np.concatenate(rows), "v", buckets)
-
-    def groups(r: np.ndarray) -> Iterator[np.ndarray]:
-        by = np.lexsort((r["c"], r["doc"], r["v"]))
-        v = r["v"][by]
-        for g in np.split(by, np.flatnonzero(v[1:] != v[:-1]) + 1):
-            if len(g) > 1:
-                yield r[g]
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The earliest and the last earlier candidate of each class, and those that have more."""
-        pairs, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, _NEAR)[["doc", "v", "lo", "c", "hi"]]]
-        for g in groups(blobs.unpack(batches, _NEAR)):
-            doc, ends, others = g["doc"], [], []
-            for j, i, whole in candidates(g["t"], np.arange(1, len(g)), True):
-                ends += [(doc[i[0]], doc[j]), (doc[i[-1]], doc[j])]
-                if len(i) > 2 or not whole:
-                    others.append(j)
-            if ends:
-                pairs.append(np.unique(ends, axis=0))
-                more.append(g[others][["doc", "v", "lo", "c", "hi"]])
-        pairs, more = np.unique(np.concatenate(pairs), axis=0), np.concatenate(more)
-        none = pa.nulls(len(pairs), pa.int64()), *[pa.nulls(len(pairs), pa.int32())] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *none], names=["a", "b", "v", "lo", "c", "hi"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.array(more["doc"].copy()), pa.array(more["v"].copy().view(np.int64)), *(pa.array(more[x].copy()) for x in ("lo", "c", "hi"))], names=["a", "b", "v", "lo", "c", "hi"])
-
-    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc, x, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
-                covered: list[list[int]] = []
-                for y in sorted((y["s"], y["e"]) for y in spans or []):
-                    if covered and y[0] <= covered[-1][1]:
-                        covered[-1][1] = max(covered[-1][1], y[1])
-                    else:
-                        covered.append(list(y))
-                out += [(y["v"] % 2**64, doc, y["c"]) for y in x if not any(s <= y["lo"] and y["hi"] + SHINGLE - 1 <= e for s, e in covered)]
-            yield from blobs.pack(np.array(out, _OPEN), "v", buckets)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All earlier candidates of the open windows."""
-        got, want = [], []
-        for b in batches:
-            for x, is_open in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                (want if is_open else got).append(np.frombuffer(x, _OPEN if is_open else _NEAR))
-        if not got or not want:
-            return
-        want = np.unique(np.concatenate(want))
-        r = np.concatenate(got)
-        for g in groups(r[np.isin(r["v"], want["v"])]):
-            now = np.flatnonzero(np.isin(g[["doc", "c"]].copy().astype([("doc", "<i8"), ("c", "<i8")]).view("V16"), want[want["v"] == g["v"][0]][["doc", "c"]].copy().astype([("doc", "<i8"), ("c", "<i8")]).view("V16")))
-            for j, i, _ in candidates(g["t"], now):
-                a = np.unique(g["doc"][i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.full(len(a), g["doc"][j]))], names=["a", "b"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # rows come sorted by the longer text, so each is hashed about once
-        for p in words.parts(batches, "tl", 2 << 20):
-            x, y, longer = (p.column(i).to_pylist() for i in range(3))
-            at = {d: i for i, d in enumerate(longer) if d not in kept}
-            w = words.Words(p.column(4).take(pa.array(list(at.values()), pa.int64())))
-            for k, d in enumerate(at):
-                t = words.shingles(w.h[w.first[k] : w.first[k + 1]], SHINGLE)
-                kept[d] = t, np.argsort(t, kind="stable")
-            w, out = words.Words(p.column(3)), []
-            for i, (a, b, d) in enumerate(zip(x, y, longer)):
-                short, (t, order) = words.shingles(w.h[w.first[i] : w.first[i + 1]], SHINGLE), kept[d]
-                out += [(b, s, e + SHINGLE - 1) for s, e in (passages(t, short, a == b, order=order) if d == a else passages(short, t, False))]
-            kept = {longer[-1]: kept[longer[-1]]}
-            d, s, e = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["doc_id", "s", "e"])
-
-    slim = docs.select("doc_id", "text")
-    # Equal texts are one class, whose first document stands for all; the others repeat it as a whole.
-    n_words = F.expr(r"size(filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> ''))")
-    texts = scratch.write(slim.where("text is not null").select("doc_id", F.md5("text").alias("k"), F.octet_length("text").alias("size"), n_words.alias("n")), "texts")
-    info = texts.join(texts.groupBy("k").agg(F.min("doc_id").alias("rep")), "k").select("doc_id", "rep", "size", "n")
-    early = info.select(F.col("doc_id").alias("a"), "rep", F.col("size").alias("sa"))
-    late = info.where("doc_id = rep").select(F.col("doc_id").alias("b"), F.col("size").alias("sb"))
-    copies = info.where(f"doc_id <> rep and n >= {LEAST + SHINGLE - 1}").select("doc_id", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
-    short = slim.select(F.col("doc_id").alias("small"), F.col("text").alias("ts"))
-    long = slim.select(F.col("doc_id").alias("big"), F.col("text").alias("tl"))
-
-    def sized(linked: DataFrame) -> DataFrame:
-        # The shorter text travels to the longer one, so a very long document is not copied for each of its pairs.
-        big = F.when(F.col("sa") >= F.col("sb"), F.col("rep")).otherwise(F.col("b"))
-        return linked.distinct().join(early, "a").join(late, "b").select(F.col("rep").alias("a"), "b", big.alias("big")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sent = pairs.withColumn("small", F.when(F.col("big") == F.col("a"), F.col("b")).otherwise(F.col("a"))).join(short, "small").join(long, "big")
-        return scratch.write(sent.select("a", "b", "big", "ts", "tl").mapInArrow(verify, "doc_id long, s int, e int").distinct(), "spans")
-
-    rows = "a long, b long, v long, lo int, c int, hi int"
-    member = F.collect_list(F.struct("v", "lo", "c", "hi")).alias("x")
-    found = scratch.write(slim.mapInArrow(find, blobs.SCHEMA).repartition("bucket").mapInArrow(classes, rows), "classes")
-    reps = found.where("a is null").groupBy(F.col("b").alias("doc_id")).agg(member)
-    beside = scratch.write(slim.join(reps, "doc_id").select("doc_id", "text", "x").mapInArrow(near, blobs.SCHEMA), "near")
-    linked = scratch.write(beside.repartition("bucket").mapInArrow(link, rows), "linked")
-    pairs = scratch.write(sized(found.union(linked).where("a is not null").select("a", "b")), "pairs")
-    spans = verified(pairs)
-    # An equal text later on is removed as a whole, so only first ones are open.
-    more = linked.where("a is null").join(late.select("b"), "b", "left_semi").groupBy(F.col("b").alias("doc_id")).agg(member)
-    more = more.join(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "doc_id", "left")
-    open_ = scratch.write(more.select("doc_id", "x", "spans").mapInArrow(still_open, blobs.SCHEMA), "open")
-    if open_.limit(1).count():
-        both = beside.withColumn("is_open", F.lit(False)).union(open_.withColumn("is_open", F.lit(True)))
-        others = sized(both.repartition("bucket").mapInArrow(rest, "a long, b long"))
-        spans = spans.union(verified(scratch.write(others.join(pairs, ["a", "b"], "left_anti"), "more_pairs")))
-    spans = spans.union(copies)
-    return spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x")).select("doc_id", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
+            yield _rows(x["doc"], x["key"], x["lo"], x["hi"], x["v"], x["c"])
+    yield from done
+
+
+def near(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blobs of the classes with the tokens around their centres."""
+    for p in words.parts(batches, "text", 1 << 20):
+        s, ends = tokens(p)
+        keys, want = p.column(2).to_numpy(), p.column(3)
+        row = np.repeat(np.arange(len(want)), want.value_lengths().to_numpy())
+        w = want.flatten()
+        v, key, c = w.field(0).to_numpy().view(np.uint64), w.field(1).to_numpy(), w.field(2).to_numpy()
+        starts = ends - np.diff(np.r_[0, ends])
+        ok = key == (keys[row].view(np.uint64) & np.uint64(2**32 - 1)).astype(np.int64)  # else of another text of the doc_id
+        row, v, key, c = row[ok], v[ok], key[ok], c[ok]
+        pad = np.zeros(len(s) + FAR * (len(ends) + 1), np.uint64)  # FAR zeros before, between and after the texts
+        text = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+        pad[np.arange(len(s)) + FAR * (text + 1)] = np.maximum(words.mix(s) >> np.uint64(40), np.uint64(1))
+        view = np.lib.stride_tricks.sliding_window_view(pad, WIDE) if len(pad) >= WIDE else np.zeros((0, WIDE), np.uint64)
+        at = starts[row] + c + FAR * row
+        doc = p.column(0).to_numpy()
+        for i in range(0, len(at), 4096):
+            k = slice(i, i + 4096)
+            r = np.empty(len(at[k]), _NEAR)
+            r["v"], r["doc"], r["key"], r["c"] = v[k], doc[row[k]], key[k], c[k]
+            r["t"], r["u"] = view[at[k]] & np.uint64(0xFFFF), view[at[k]] >> np.uint64(16)
+            yield from blobs.pack(r, r["v"], buckets)
+
+
+def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for r in blobs.unpack(batches, _NEAR):
+        r = r[np.lexsort((r["c"], r["key"], r["doc"], r["v"]))]
+        cut = np.flatnonzero(np.r_[True, r["v"][1:] != r["v"][:-1]])
+        ends = np.r_[cut[1:], len(r)]
+        i = 0
+        while i < len(cut):  # whole values, about 16,384 classes at a time
+            j = max(i + 1, int(np.searchsorted(ends, cut[i] + 16384, side="right")))
+            part = r[cut[i] : ends[j - 1]]
+            yield _rows(*merged(*_spans(compare(part), part)))
+            i = j
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc, key (of the text), and the word ranges (starts, ends) that repeat an earlier passage, for texts that have any."""
+    spark = docs.sparkSession
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64("text").alias("key"))
+    windowed = slim.mapInArrow(lambda b: find(b, buckets), blobs.SCHEMA)
+    found = scratch.write(blobs.dealt(windowed).mapInArrow(classes, FOUND), "classes")
+    reps = found.where("v is not null").groupBy("doc").agg(F.collect_list(F.struct("v", "key", "c")).alias("want"))
+    beside = slim.join(reps, "doc").select("doc", "text", "key", "want").mapInArrow(lambda b: near(b, buckets), blobs.SCHEMA)
+    linked = scratch.write(blobs.dealt(beside).mapInArrow(link, FOUND), "linked")
+    spans = found.where("v is null").union(linked)
+    span = F.collect_set(F.struct(F.col("lo").alias("s"), (F.col("hi") + SHINGLE - 1).alias("e")))
+    return spans.groupBy("doc", "key").agg(F.sort_array(span).alias("x")).select("doc", "key", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
 
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int, int, list[tuple[int, int]]]:
     """The text without those words (and the white space after each), its words, words removed, merged ranges."""
-    low = words.LOWER[np.frombuffer(text.encode(), np.uint8)]
+    raw = text.encode()
+    low = words.LOWER[np.frombuffer(raw, np.uint8)]
     starts, _, _ = words.spans(low, np.array([0, len(low)]))
-    merged: list[list[int]] = []
+    spans: list[list[int]] = []
     for s, e in sorted(ranges):
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(e, merged[-1][1])
+        if spans and s <= spans[-1][1]:
+            spans[-1][1] = max(e, spans[-1][1])
         else:
-            merged.append([s, e])
-    raw, out, at = text.encode(), [], 0
-    for s, e in merged:
+            spans.append([s, e])
+    out, at = [], 0
+    for s, e in spans:
         out.append(raw[at : starts[s]])
         at = int(starts[e]) if e < len(starts) else len(raw)
-    return b"".join([*out, raw[at:]]).decode(), len(starts), sum(e - s for s, e in merged), [tuple(m) for m in merged]
+    return b"".join([*out, raw[at:]]).decode(), len(starts), sum(e - s for s, e in spans), [tuple(m) for m in spans]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All columns, text without repeated passages; and _words, _removed, _spans."""
-    found = repeats(docs).withColumnsRenamed({"doc_id": "_id", "starts": "_starts", "ends": "_ends"})
-    both = docs.join(found, F.col("doc_id") == F.col("_id"), "left").select(*docs.columns, "_starts", "_ends")
+    """The columns of docs as c0, c1, ..., the text without repeated passages; n_words, removed (words) and spans."""
+    i, n = docs.columns.index("text"), len(docs.columns)
+    plain = docs.toDF(*[f"c{k}" for k in range(n)])
+    doc, key = F.col(f"c{docs.columns.index('doc_id')}").cast("long"), F.expr(f"xxhash64(c{i}) & {2**32 - 1}L")
+    found = repeats(docs)
+    both = plain.join(found, (doc == F.col("doc")) & (key == F.col("key")), "left").drop("doc", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in words.parts(batches, "text"):
-            i = b.schema.get_field_index("text")
-            got = [(t, 0, 0, []) if not t else cut(t, list(zip(s or [], e or []))) for t, s, e in zip(b.column(i).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
-            t, n, r, m = zip(*got)
-            columns = list(b.columns)[:-2]
-            columns[i] = pa.array(t, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array([[list(x) for x in y] for y in m], pa.list_(pa.list_(pa.int64())))], names=[*b.schema.names[:-2], "_words", "_removed", "_spans"])
-
-    schema = docs.selectExpr("*", "0L as _words", "0L as _removed", "array(array(0L)) as _spans").schema
+        for b in words.parts(batches, f"c{i}", 4 << 20):
+            text = b.column(i)
+            w = words.Words(text)
+            total = np.diff(w.first)
+            at = np.flatnonzero(b.column(n).is_valid().to_numpy(zero_copy_only=False))
+            removed, spans, mask, now = np.zeros(b.num_rows, np.int64), [[]] * b.num_rows, np.zeros(b.num_rows, bool), []
+            for k, t, s, e in zip(at.tolist(), *(b.column(x).take(pa.array(at)).to_pylist() for x in (i, n, n + 1))):
+                t, _, removed[k], m = cut(t, list(zip(s, e)))
+                spans[k], mask[k] = [list(x) for x in m], True
+                now.append(t)
+            columns = list(b.columns)[:n]
+            if now:
+                columns[i] = pa.compute.replace_with_mask(text, pa.array(mask), pa.array(now, text.type))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total.astype(np.int64)), pa.array(removed), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[*b.schema.names[:n], "n_words", "removed", "spans"])
+
+    schema = plain.selectExpr("*", "0L as n_words", "0L as removed", "array(array(0L)) as spans").schema
     return both.mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs.select("doc_id", "text")).select("doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("spans"), F.sha2("text", 256).alias("text_sha256"))
+    return remove_repeats(docs.select("doc_id", "text")).select(F.col("c0").alias("doc_id"), "n_words", F.col("removed").alias("n_removed"), "spans", F.sha2("c1", 256).alias("text_sha256"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).select(*docs.columns)
+    """The documents without repeated passages; one that loses all its words goes."""
+    return remove_repeats(docs).where("removed < n_words or n_words = 0").drop("n_words", "removed", "spans").toDF(*docs.columns)

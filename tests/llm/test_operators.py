@@ -237,33 +237,92 @@ def test_licenses(docs, odd, none):
     assert licenses.query(odd).count() == len(ODD) and licenses.query(none).count() == 0
 
 
-def test_passages_follow_every_occurrence():
-    import numpy as np
-
-    x = np.random.default_rng(1).permutation(5000).astype(np.uint64)
-    p, rest = x[:56], x[100:]
-    # the earlier text quotes 16 tokens of the passage before it has all of it
-    a = np.concatenate([rest[:30], p[:16], rest[30:300], p, rest[300:340]])
-    b = np.concatenate([rest[1000:1020], p, rest[1020:1100]])
-    assert substrings.passages(a, b, False) == [(20, 76)]
-    # one token of the middle occurs earlier too, and the same inside one text
-    c = np.concatenate([rest[:30], p[30:31], rest[30:200], p, rest[200:230], p])
-    assert substrings.passages(c, b, False) == [(20, 76)]
-    assert substrings.passages(c, c, True) == [(287, 343)]
-
+def planted(seed, vocabulary=40000):
+    import random
 
-def test_passages_beside_loosely_similar_text():
+    r = random.Random(seed)
+    return r, lambda n: [f"{r.choice('abcdefgh')}{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+def spans_of(spark, parts):
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in parts], "doc_id long, text string").repartition(5)
+    return {x.doc_id: x.spans for x in substrings.query(d).collect()}
+
+
+def test_passages_follow_every_occurrence(spark):
+    _, text = planted(1)
+    p = text(60)
+    # the earlier text quotes 16 words of the passage before it has all of it; 8 has it twice, and quotes a part of it
+    a = [*text(30), *p[:16], *text(270), *p, *text(40)]
+    b = [*text(20), *p, *text(80)]
+    got = spans_of(spark, [(1, a), (5, b), (8, [*text(30), *p[30:38], *text(100), *p, *text(30), *p])])
+    assert got == {1: [], 5: [[20, 80]], 8: [[138, 198], [228, 288]]}
+
+
+def test_passages_inside_one_text(spark):
+    _, text = planted(2)
+    p = text(70)
+    assert spans_of(spark, [(1, [*p, *text(40), *p, *text(9)])]) == {1: [[110, 180]]}
+    # words that repeat without end: the first 50, what links them and less than EVERY at the end stay
+    (got,) = spans_of(spark, [(1, ["word"] * 200_000)]).values()
+    assert len(got) == 1 and got[0][0] < 100 and got[0][1] > 200_000 - 16
+
+
+def test_passages_beside_other_text(spark):
+    r, text = planted(3)
+    a = text(300)
+    b = [x if i % 10 < 5 else y for i, (x, y) in enumerate(zip(a, text(300)))]
+    b[:60] = a[:60]
+    got = spans_of(spark, [(1, a), (2, b), (3, b[100:])])
+    assert got[1] == [] and got[2] == [[0, 75]] and got[3] == [[0, 200]]
+
+
+def test_recall_of_near_passages(spark):
+    """Passages of 60 to 100 words with a share of 0.85 to 0.95 of their five-word shingles, against what was planted."""
+    r, text = planted(4)
+    parts, want = [], {}
+    for k in range(120):
+        p = text(r.randrange(60, 100))
+        q = list(p)
+        for i in r.sample(range(3, len(p) - 3), 2):
+            q[i : i + 1] = r.choice([text(1), [], [q[i], *text(1)]])
+        at = r.randrange(5, 60)
+        parts += [(k, [*text(r.randrange(80)), *p, *text(20)]), (1000 + k, [*text(at), *q, *text(r.randrange(80))])]
+        want[1000 + k] = at, at + len(q)
+    got = spans_of(spark, parts)
+    assert not any(got[k] for k in range(120))
+    caught = sum(sum(max(0, min(e, b) - max(s, a)) for a, b in got[k]) for k, (s, e) in want.items())
+    wrong = sum(sum((b - a) - max(0, min(e, b) - max(s, a)) for a, b in got[k]) for k, (s, e) in want.items())
+    assert caught >= 0.9 * sum(e - s for s, e in want.values()) and wrong == 0
+
+
+def test_windows_against_brute_force():
     import numpy as np
 
-    x = np.random.default_rng(2).permutation(5000).astype(np.uint64)
-    a = x[:300].copy()
-    b = a.copy()
-    b[np.arange(300) % 10 >= 5] = x[1000:1150]
-    b[:56] = a[:56]
-    assert substrings.passages(a, b, False) == [(0, 95)]  # 56 + 20 of 95
-    # the loose part alone is no passage, on either side of an exact one
-    assert substrings.passages(a[56:], b[56:], False) == []
-    assert substrings.passages(a[::-1], b[::-1], False) == [(205, 300)]
+    r = np.random.default_rng(5)
+    for sizes in ([300, 0, 20, 46, 1, 500], [45], [46], [2000]):
+        h = r.integers(0, 200 if len(sizes) > 1 else 2**62, sum(sizes)).astype(np.uint64) * np.uint64(4)
+        ends, want = np.cumsum(sizes), set()
+        for e, n in zip(ends, sizes):
+            todo = [(int(e) - n, int(e))]
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo >= 46:
+                    c = lo + int(h[lo:hi].argmin())
+                    want.add((lo, c, hi))
+                    todo += [(lo, c), (c + 1, hi)]
+        got = set(map(tuple, substrings.windows(h, ends).tolist()))
+        assert got <= want and all(any(a == b and h[c] == h[d] for a, d, b in [(hi, k, hi2) for _, k, hi2 in got]) for lo, c, hi in want - got for a, b in [(hi, hi)]) or got == want
+
+
+def test_substrings_of_repeated_ids_and_clashing_names(spark):
+    _, text = planted(6)
+    p, q = text(60), text(60)
+    rows = [(1, " ".join(p + text(5)), 1), (2, " ".join(q), 2), (2, " ".join(text(9) + p), 3), (2, "short", 4), (None, " ".join(p), 5), (3, " ".join(q), 6), (2, " ".join(q), 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _words int")
+    got = {r[2]: r[1].split() for r in substrings.stage(d).collect()}
+    assert got == {1: rows[0][1].split(), 2: q, 3: rows[2][1].split()[:9], 4: ["short"], 5: p}
+    assert substrings.stage(d).columns == d.columns
 
 
 def test_substrings_past_unrelated_windows(spark):
