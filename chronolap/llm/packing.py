@@ -4,14 +4,16 @@ Only the number of pieces of each length matters for a plan, so a histogram of a
 goes to the driver. Pieces above a third of the capacity are matched greedily, at most two to a bin,
 the largest with the largest that fits; smaller ones go, largest first, to the smallest gap that holds
 them. The plan says which ranks of a length go to which bins; ranks come from counts of each partition.
-Null counts as empty text. Ties and repeated rows only differ in rank. Extra columns are dropped.
+A plan has a few steps for each length (a step uses up a length or a group of like bins), so what is
+broadcast is bounded by the capacity. Null counts as empty text. Ties and repeated rows only differ in
+rank. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import bisect
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,52 @@ from pyspark.sql import functions as F
 from chronolap.llm import scratch, words
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-_MEMO = 250_000
+ENTRIES, POOL = 1 << 20, 1 << 23
+_CUT = np.ones(256, dtype=bool)
+_CUT[[0x20, 0x0A]] = False
 _LOADED: dict[str, tuple] = {}
 
 
+class Memo:
+    """Ids of words by 64-bit hash: at most ENTRIES words and POOL ids; the words not met for longest go first."""
+
+    def __init__(self) -> None:
+        self.keys, self.at, self.size, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.now = np.zeros(0, np.uint32), 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Sorted keys that are missing, and their ids one after another."""
+        if len(self.keys) + len(keys) > ENTRIES or len(self.pool) + len(ids) > POOL:
+            keep = (self.used > np.median(self.used)) | (self.used == self.now) if len(self.used) else np.zeros(0, bool)  # those of this part stay
+            at, n = self.at[keep], self.size[keep]
+            self.pool = self.pool[_ranges(at, n)]
+            self.keys, self.size, self.used, self.at = self.keys[keep], n, self.used[keep], np.cumsum(n) - n
+        to = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, to, len(self.pool) + np.cumsum(size) - size)
+        self.size, self.used, self.keys = np.insert(self.size, to, size), np.insert(self.used, to, self.now), np.insert(self.keys, to, keys)
+        self.pool = np.concatenate([self.pool, ids])
+
+    def touch(self, keys: np.ndarray) -> None:
+        """Keys that are there are met now."""
+        self.now += 1
+        self.used[np.searchsorted(self.keys, keys)] = self.now
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of keys that are there begin in the pool, and how many they are."""
+        p = np.searchsorted(self.keys, keys)
+        return self.at[p], self.size[p]
+
+
+def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (n[0] of them), at[1], ..."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _load(path: str) -> tuple:
     if path not in _LOADED:
         import os
@@ -35,40 +79,46 @@ def _load(path: str) -> tuple:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _LOADED[path] = t, [{"": b""}, {}]
+        _LOADED[path] = t, Memo()
     return _LOADED[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Token ids of each document and end_id, cut into pieces of the capacity.
 
-    The tokenizer drops white space and never joins across it, so each word between spaces or line
-    ends is encoded once and kept in a table. One that is full becomes the old one, from which words that
-    come again are taken back, so frequent words stay and memory is bounded.
+    The tokenizer drops white space and never joins across it, so each word between spaces or line feeds
+    is encoded once and kept by its hash in a table of bounded size; texts are put together from it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, memos = _load(path)
-        end = array("I", [end_id]).tobytes()
+        t, memo = _load(path)
         for b in words.parts(batches, "text", 4 << 20):
-            if len(memos[0]) > _MEMO:
-                memos[:] = {"": b""}, memos[0]
-            memo, old = memos
-            split = [(x or "").replace("\n", " ").split(" ") for x in b.column(1).to_pylist()]
-            found = set().union(*split)
-            found = [w for w in found if w not in memo]
-            memo.update((w, old[w]) for w in found if w in old)
-            missing = [w for w in found if w not in memo]
-            for i in range(0, len(missing), 20_000):
-                some = missing[i : i + 20_000]
-                for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False)):
-                    memo[w] = array("I", e.ids).tobytes()
-            rows = []
-            for doc, ws in zip(b.column(0).to_pylist(), split):
-                ids = b"".join(map(memo.__getitem__, ws)) + end
-                rows += [(doc, k, k * capacity, len(ids[k * capacity * 4 : (k + 1) * capacity * 4]) // 4, ids[k * capacity * 4 : (k + 1) * capacity * 4]) for k in range(-(-len(ids) // (4 * capacity)))]
-            d, k, s, n, ids = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+            raw, offsets = words.buffers(b.column(1))
+            starts, ends, first = words.spans(raw, offsets, _CUT)
+            h, at, of = np.unique(words.hashes(raw, starts, ends), return_index=True, return_inverse=True)
+            if len(h) > ENTRIES // 2:  # a part with more words than the table may hold gets one of its own
+                memo = Memo()
+            lost = np.flatnonzero(memo.missing(h))
+            got = [e.ids for i in range(0, len(lost), 20_000) for e in t.encode_batch_fast([raw[starts[k] : ends[k]].tobytes().decode() for k in at[lost[i : i + 20_000]].tolist()], add_special_tokens=False)]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            memo.touch(np.delete(h, lost))
+            memo.add(h[lost], size, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())))
+            where, n = memo.get(h)
+            where, n = where[of], n[of]
+            per = np.diff(np.r_[0, np.cumsum(n)][first])  # ids of each text
+            ids = np.empty(int(per.sum()) + len(per), np.uint32)
+            total = np.cumsum(per + 1)
+            mine = np.ones(len(ids), bool)
+            mine[total - 1] = False
+            ids[mine] = memo.pool[_ranges(where, n)]
+            ids[total - 1] = end_id
+            count = -(-(per + 1) // capacity)
+            row = np.repeat(np.arange(len(per)), count)
+            piece = _ranges(np.zeros(len(per), np.int64), count)
+            length = np.minimum(capacity, (per + 1)[row] - piece * capacity)
+            cut = np.r_[0, np.cumsum(length)].astype(np.int32) * np.int32(4)
+            binary = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), binary], names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -68,13 +68,13 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def spans(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the place of each row's first word (one more than rows)."""
+def spans(low: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word (a run of bytes b with word[b]), and the place of each row's first word (one more than rows)."""
     n = len(low)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    inside = _WORD[low]
+    inside = word[low]
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
     before = np.empty(n, dtype=bool)

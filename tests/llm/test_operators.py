@@ -416,3 +416,27 @@ def test_lines_of_repeated_ids_and_clashing_names(spark):
     assert got == sorted([(1, "only here", 7.5, 1), (2, "one line", 7.5, 2), (2, "another text\na line of its own that stays", 7.5, 3), (2, "one line", 7.5, 2)])
     assert [tuple(r) for r in lines.stage(d).collect() if not r[0]] == [(None, "a b c d e f", 7.5, 4)]
     assert lines.stage(d).columns == d.columns
+
+
+def test_packing_with_a_small_word_table(docs, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    texts = [r.text for r in docs.select("text").limit(200).collect()]
+    b = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["doc_id", "text"]) for i, t in enumerate(texts)]
+    run = packing.pieces(Frame(), P.path("word_bpe_49k.json"))
+    got = []
+    for entries in (1 << 20, 900):
+        monkeypatch.setattr(packing, "ENTRIES", entries)
+        packing._LOADED.clear()
+        got.append([(r["doc_id"], r["ids"]) for x in run(iter(b)) for r in x.to_pylist()])
+        assert len(packing._LOADED[P.path("word_bpe_49k.json")][1].keys) <= entries
+    packing._LOADED.clear()
+    assert got[0] == got[1] and np.frombuffer(got[0][0][1], np.uint32)[-1] in (0, *np.frombuffer(got[0][0][1], np.uint32))
