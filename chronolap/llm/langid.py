@@ -2,7 +2,8 @@
 
 Learns from at most SAMPLE distinct labelled texts of each language (a documented bound; those with the
 smallest hash of the text, however large the table is). Families are languages whose mean profiles are alike. Features are hashed byte
-n-grams of whole lower-cased texts. A text that is null or has no letter is `und` with score 0; without
+pairs and triples of whole lower-cased texts (the bytes themselves of texts of up to two). The score is the
+certainty of the family times that of the closest comparison inside it. A text that is null or has no letter is `und` with score 0; without
 any labelled text every row is `und`. Ties go to the first language by name. Only text is an input.
 """
 
@@ -23,7 +24,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """A row of square-rooted shares of hashed 1- to 3-grams for each text."""
+    """A row of square-rooted shares of hashed byte pairs and triples for each text."""
     raw, off = words.buffers(column)
     low = words.LOWER[raw].astype(np.uint32)
     out = np.zeros((len(off) - 1, WIDTH), np.float32)
@@ -31,7 +32,8 @@ def features(column: pa.Array) -> np.ndarray:
         total = np.zeros(WIDTH, np.int64)
         for at in range(off[i], off[i + 1], 1 << 20):  # blocks overlap by two bytes, so n-grams are whole
             b = low[at : min(at + (1 << 20) + 2, off[i + 1])]
-            g = [b[:-1] * 257 + b[1:], (b[:-2] * 66049 + b[1:-1] * 257 + b[2:])] if len(b) > 2 else [b]
+            two = b[: (1 << 20) + 1]
+            g = [two[:-1] * 257 + two[1:], (b[:-2] * 66049 + b[1:-1] * 257 + b[2:])] if len(b) > 2 else [b]
             for x in g:
                 total += np.bincount(((x * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64), minlength=WIDTH)
         if s := total.sum():
@@ -74,12 +76,16 @@ def predict(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
     pick = m.argmax(axis=0)
     votes = {k: np.where(np.array([heads[p] for p in pick]) == model["family"][k], 0.0, -np.inf) for k in model["names"]}
     sure = 1 / (1 + np.exp(-np.clip(2 * m.max(axis=0), -30, 30)))
+    close = {k: np.full(len(x), np.inf) for k in model["names"]}
     for (a, b), w in model["pairs"].items():
         d = margin(w)
+        close[a], close[b] = np.minimum(close[a], d), np.minimum(close[b], -d)
         votes[a] = votes[a] + np.tanh(d) + np.sign(d)
         votes[b] = votes[b] - np.tanh(d) - np.sign(d)
     v = np.array([votes[k] for k in model["names"]])
-    return [model["names"][i] for i in v.argmax(axis=0)], sure
+    best = v.argmax(axis=0)
+    near = np.array([close[k] for k in model["names"]])[best, np.arange(len(x))]
+    return [model["names"][i] for i in best], sure / (1 + np.exp(-np.clip(2 * near, -30, 30)))
 
 
 def sample(docs: DataFrame, per: int) -> list:
@@ -107,33 +113,35 @@ def sample(docs: DataFrame, per: int) -> list:
 
 def identify(docs: DataFrame, per: int = SAMPLE) -> DataFrame:
     """Every row and column, with lang_pred and score (which replace columns of those names)."""
-    return lettered(docs.drop("lang_pred", "score"), per).drop("_letter")
+    docs = docs.drop("lang_pred", "score")
+    return lettered(docs, per).drop("letter").toDF(*docs.columns, "lang_pred", "score")
 
 
 def lettered(docs: DataFrame, per: int) -> DataFrame:
-    """The rows with lang_pred, score and whether the text has a letter."""
+    """The columns of docs as c0, c1, ..., then lang_pred, score and whether the text has a letter."""
     got = sorted((r[0], r[1]) for r in sample(docs, per))
     model = train(features(pa.array([g[0] for g in got], pa.string())), [g[1] for g in got]) if got else None
     if model:
         model["heads"] = {k: w.astype(np.float32) for k, w in model["heads"].items()}
         model["pairs"] = {k: w.astype(np.float32) for k, w in model["pairs"].items()}
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in words.parts(batches, "text", 2 << 20):
-            column = b.column(b.schema.get_field_index("text"))
+        for b in words.parts(batches, f"c{at}", 2 << 20):
+            column = b.column(at)
             texts = column.to_pylist()
             letter = np.array([bool(t and _LETTER.search(t)) for t in texts])
             names, score = predict(model, features(column)) if model else (["und"] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k if ok else "und" for k, ok in zip(names, letter)]), pa.array(np.where(letter, score, 0.0).astype(np.float64)), pa.array(letter)], names=[*b.schema.names, "lang_pred", "score", "_letter"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k if ok else "und" for k, ok in zip(names, letter)]), pa.array(np.where(letter, score, 0.0).astype(np.float64)), pa.array(letter)], names=[*b.schema.names, "lang_pred", "score", "letter"])
 
-    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("_letter", F.lit(True)).schema
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.selectExpr("*", "'' as lang_pred", "0.0D as score", "true as letter").schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return identify(docs.select("doc_id", "text", "lang")).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text", "lang")).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents with a language; null texts and those without a letter go, and nothing else if no language could be learned."""
-    return lettered(docs.drop("lang_pred", "score"), SAMPLE).where("_letter").select(*docs.columns)
+    return lettered(docs, SAMPLE).where("letter").drop("lang_pred", "score", "letter").toDF(*docs.columns)
