@@ -440,3 +440,69 @@ def test_packing_with_a_small_word_table(docs, monkeypatch):
         assert len(packing._LOADED[P.path("word_bpe_49k.json")][1].keys) <= entries
     packing._LOADED.clear()
     assert got[0] == got[1] and np.frombuffer(got[0][0][1], np.uint32)[-1] in (0, *np.frombuffer(got[0][0][1], np.uint32))
+
+
+def test_near_repeated_and_missing_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(5, " ".join(other)), (5, " ".join(w)), (9, " ".join([*w[:59], "x"])), (12, " ".join(["y", *other[1:]])), (None, " ".join(w[1:])), (None, "one of its own with five words"), (3, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [((r.doc_id or 0), r.component_id, r.kept) for r in near.near_duplicates(d, 3, 85).collect()]
+    assert sorted(got, key=str) == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (12, 5, False), (0, 5, False), (0, None, True), (3, 3, True)], key=str)
+
+
+def test_forest_goes_deeper_where_it_is_dense():
+    import numpy as np
+
+    r = np.zeros(300, near._PLACE)
+    r["node"] = np.arange(300)[::-1]
+    r["rest"][:, 0], r["rest"][:, 1] = np.arange(300) // 100, np.arange(300) // 10
+    pairs = near.candidates(r, dense=50)
+    heads = {(a, b) for a, b in pairs.tolist() if a - b > 1}
+    assert all(a // 10 == b // 10 and b % 10 == 0 for a, b in heads) and len(pairs) >= 299
+    assert {b for _, b in near.candidates(r, dense=400)[299:].tolist()} == {0}
+
+
+def test_parity_bits_never_drop_a_link():
+    import numpy as np
+
+    g = np.random.default_rng(8)
+    base = g.integers(1, 2**63, 400).astype(np.uint64)
+    found = [np.unique(np.r_[base[: 400 - k], g.integers(1, 2**63, k).astype(np.uint64)]) for k in range(0, 80, 4)]
+    for i in found:
+        for j in found:
+            differ = len(np.setxor1d(i, j))
+            assert np.bitwise_count(near.parity(i) ^ near.parity(j)).sum() <= differ
+
+
+def test_topk_of_repeated_ids(spark):
+    v = [[1.0, 2.0], [1.0, 2.0], [3.0, 0.5], [0.0, 1.0]]
+    d = spark.createDataFrame([(50, v[0]), (50, v[1]), (50, v[2]), (7, v[3])], "vec_id long, embedding array<float>")
+    rows = [(50, v[0]), (50, v[1]), (50, v[2]), (7, v[3])]
+    want = []
+    for i, (q, a) in enumerate(rows):
+        if q % 50 == 0:
+            s = sorted((-sum(int(256 * y) * int(256 * z) for y, z in zip(a, b)), e) for j, (e, b) in enumerate(rows) if j != i)[:5]
+            want += [(q, k + 1, e, -n) for k, (n, e) in enumerate(s)]
+    assert sorted(map(tuple, topk.topk(d).collect())) == sorted(want)
+
+
+def test_topk_leaves_blocks_out():
+    """On vectors in clusters most blocks are never scored; on vectors without any order none can be left out."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    centres = 256 * np.eye(32)[r.integers(0, 32, 16384)]
+    d = np.floor(centres + 8 * r.random((16384, 32)))
+    scored = []
+    topk.search(np.arange(40), d[:40], np.arange(16384), d, 5, scored)
+    assert sum(scored) < 0.5 * 40 * 32
+    print("blocks scored:", sum(scored), "of", 40 * 32)
+
+
+def test_language_keeps_clashing_columns(spark, docs):
+    d = docs.select("doc_id", "text", "lang").selectExpr("*", "7.5D as score", "'mine' as lang_pred", "doc_id as _letter")
+    got = langid.stage(d)
+    assert got.columns == d.columns and got.where("score <> 7.5 or lang_pred <> 'mine' or _letter <> doc_id").count() == 0
+    null = langid.query(docs.selectExpr("cast(null as long) as doc_id", "text", "lang").limit(3))
+    assert [r.held_out for r in null.collect()] == [False] * 3
