@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages, each on all that the one before it kept."""
+"""A corpus pipeline of five stages, each on all that the one before it kept.
+
+The order is fixed: language ID, line dedup, near-dedup, substring dedup, packing. A document that line or
+substring dedup leaves without words has been removed as a whole and goes; near-dedup therefore meets only
+near copies whose lines differ enough to stay. Rows without a doc_id stay, compared with none by near-dedup
+and substring dedup. An empty table gives an empty result; other columns of documents pass unchanged.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are like an earlier one."""
+    """Documents without lines that are like an earlier one; those left without words go."""
     return lines.stage(docs)
 
 
@@ -25,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that repeat an earlier one."""
+    """Documents without passages that repeat an earlier one; those left without words go."""
     return substrings.stage(docs)
 
 
@@ -42,5 +48,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
