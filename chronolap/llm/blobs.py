@@ -63,3 +63,5 @@ def unpack(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.nd
             held.append(_array(blob, dtype))
     if held:
         yield np.concatenate(held)
+        held.clear()
+    words.release()

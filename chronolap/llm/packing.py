@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from chronolap.llm import scratch, words
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-ENTRIES, POOL = 1 << 20, 1 << 23
+ENTRIES, POOL = 1 << 19, 1 << 22
 _CUT = np.ones(256, dtype=bool)
 _CUT[[0x20, 0x0A]] = False
 _LOADED: dict[str, tuple] = {}
@@ -191,7 +191,8 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
             np.add.at(seen, n, 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(r)], names=[*b.schema.names, "_part", "_rank"])
 
-    ranked = scratch.write(items.mapInArrow(rank, schema), "pieces")
+    # two steps, so that a task has one Python worker at a time
+    ranked = scratch.write(scratch.write(items, "items").mapInArrow(rank, schema), "pieces")
     counted = ranked.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = counted.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     counts = {r[0]: r[1] for r in ranked.groupBy("length").count().collect()}  # at most `capacity` rows

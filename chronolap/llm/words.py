@@ -142,11 +142,12 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
     for b in batches:
         if not b.num_rows:
             continue
-        _, off = buffers(b.column(b.schema.get_field_index(column)))
-        i = 0
         if b.nbytes > limit:
             release()
+        _, off = buffers(b.column(b.schema.get_field_index(column)))
+        i = 0
         while i < b.num_rows:
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
             yield b.slice(i, j - i)
             i = j
+    release()
