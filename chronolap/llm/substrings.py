@@ -193,7 +193,7 @@ def compare(r: np.ndarray) -> np.ndarray:
         pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
         test(pair % len(r), pair // len(r))
         at = at[(ptr[of[at]] < of[at]) & ~found[row[at], col[at]]]
-        step = min(2 * step, 1024)
+        step = max(1, min(2 * step, 1024, (1 << 20) // max(1, len(at))))
     return found
 
 
