@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolap.functions import text
+from chronolap.plans import records
 from chronolap.session import table
 from chronolap.streaming import batch, trackers
 
@@ -23,13 +24,12 @@ _RUNS = """SELECT event_id AS id, concat('game', cast(user_id % 7 AS string)) AS
   CASE WHEN event_type <> 'purchase' AND event_id % 11 <> 0 THEN cast(round(value * 1000) AS bigint) END AS last_ms,
   CASE WHEN event_id % 4 <> 0 THEN cast({k} AS bigint) END AS ls FROM {src}"""
 _SPLITS = """SELECT l_orderkey AS run_id, cast(l_linenumber AS bigint) - 1 AS act, min(cast(l_quantity AS bigint)) * 1000 AS segment_ms FROM {src} GROUP BY l_orderkey, l_linenumber"""
-_ORDERS = """SELECT o_orderkey AS id, o_custkey AS session_id, o_orderstatus AS status, cast(round(o_totalprice) AS bigint) AS price, {ms2} AS started_at_ms, {day2} AS day FROM {src}"""
+_ORDERS = """SELECT o_orderkey AS id, o_custkey AS session_id, o_orderpriority AS game, o_orderstatus AS status, cast(round(o_totalprice) AS bigint) AS price, {ms2} AS started_at_ms, {day2} AS day FROM {src}"""
 
 _SPARK = {"ms": "unix_millis(cast(ts AS timestamp))", "day": "date_format(ts, 'yyyy-MM-dd')", "k": "get_json_object(props, '$.k')", "ms2": "unix_millis(cast(o_orderdate AS timestamp))", "day2": "date_format(o_orderdate, 'yyyy-MM-dd')"}
 _DUCK = {"ms": "(epoch_us(ts) // 1000)", "day": "strftime(ts, '%Y-%m-%d')", "k": "json_extract_string(props, '$.k')", "ms2": "(epoch_us(o_orderdate) // 1000)", "day2": "strftime(o_orderdate, '%Y-%m-%d')"}
 _VIEWS = {"runs": (_RUNS, "events"), "splits": (_SPLITS, "lineitem"), "ord": (_ORDERS, "orders")}
 _PLAIN = ("customer", "nation", "region", "supplier", "part")
-_ACTS = "(VALUES (0, 10000, 0), (1, 30000, 10000), (2, 60000, 30000), (3, 900000000, 60000)) AS a(act, end_ms, begin_ms)"
 
 BODIES: dict[str, str] = {
     "daily_stats": "SELECT day, count(*) AS attempts, count_if(outcome = 'finished') AS finished, count_if(outcome = 'reset') AS resets, min(final_ms) AS best_ms, min(id) AS first_no, max(id) AS last_no FROM runs WHERE game = 'game1' GROUP BY day",
@@ -50,28 +50,14 @@ BODIES: dict[str, str] = {
     "previous_time": "SELECT id, final_ms FROM runs WHERE final_ms IS NOT NULL AND started_at_ms < (SELECT max(started_at_ms) FROM runs) ORDER BY started_at_ms DESC, id DESC LIMIT 1",
     "recent_15": "SELECT id, game, category, outcome FROM runs ORDER BY started_at_ms DESC, id DESC LIMIT 15",
     "top_day_best": "SELECT day, id, final_ms FROM (SELECT day, id, final_ms, row_number() OVER (PARTITION BY day ORDER BY final_ms, id) AS rn FROM runs WHERE final_ms IS NOT NULL) x WHERE rn <= 12",
-    "golds": "SELECT m.act, m.median_ms, g.gold_ms, g.run_id FROM (SELECT act, segment_ms AS median_ms FROM (SELECT act, segment_ms, row_number() OVER (PARTITION BY act ORDER BY segment_ms) AS rk, count(*) OVER (PARTITION BY act) AS n FROM splits) x WHERE rk = (n + 1) DIV 2) m JOIN (SELECT act, gold_ms, run_id FROM (SELECT s.act, s.segment_ms AS gold_ms, s.run_id, row_number() OVER (PARTITION BY s.act ORDER BY s.segment_ms, o.started_at_ms, s.run_id) AS rk FROM splits s JOIN ord o ON s.run_id = o.id JOIN (SELECT act, percentile_disc(0.5) WITHIN GROUP (ORDER BY segment_ms) AS med FROM splits GROUP BY act) q ON q.act = s.act WHERE s.segment_ms * 100 >= q.med * 85) y WHERE rk = 1) g ON m.act = g.act",
     "sum_of_best": "SELECT count(*) AS acts, CASE WHEN count(*) = 7 THEN cast(sum(gold) AS bigint) END AS sum_of_best FROM (SELECT act, min(segment_ms) AS gold FROM splits GROUP BY act) x",
-    "pb_history": "SELECT game, id, final_ms FROM (SELECT game, id, final_ms, min(final_ms) OVER (PARTITION BY game ORDER BY started_at_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM runs WHERE final_ms IS NOT NULL) x WHERE prev IS NULL OR final_ms < prev",
-    "reset_streaks": "SELECT game, cast(max(n) AS bigint) AS longest FROM (SELECT game, island, count_if(outcome = 'reset') AS n FROM (SELECT game, outcome, count_if(outcome = 'finished') OVER (PARTITION BY game ORDER BY started_at_ms, id) AS island FROM runs) x GROUP BY game, island) y GROUP BY game",
-    "current_streak": "SELECT r.game, count_if(r.outcome = 'reset' AND (f.last_ms IS NULL OR r.started_at_ms > f.last_ms OR (r.started_at_ms = f.last_ms AND r.id > f.last_id))) AS current_streak, count(*) AS attempts, count_if(r.outcome = 'finished') AS finished FROM runs r LEFT JOIN (SELECT game, max(started_at_ms) AS last_ms, max_by(id, started_at_ms) AS last_id FROM runs WHERE outcome = 'finished' GROUP BY game) f ON r.game = f.game GROUP BY r.game",
-    "death_chart_acts": f"SELECT a.act, count(r.id) AS deaths FROM {_ACTS} LEFT JOIN (SELECT id, last_ms FROM runs WHERE outcome = 'reset' AND last_ms IS NOT NULL) r ON r.last_ms >= a.begin_ms AND r.last_ms < a.end_ms GROUP BY a.act",
-    "death_chart_minutes": "SELECT last_ms DIV 60000 AS minute, count(*) AS deaths FROM runs WHERE outcome = 'reset' AND last_ms IS NOT NULL GROUP BY last_ms DIV 60000",
-    "survival": f"SELECT a.act, count_if(r.outcome = 'finished' OR (a.act < 3 AND r.last_ms >= a.end_ms)) AS survived, count(*) AS runs FROM runs r CROSS JOIN {_ACTS} GROUP BY a.act",
     "segment_from_cumulative": "SELECT run_id, act, CASE WHEN act = 0 THEN cum WHEN prev_act = act - 1 THEN cum - prev_cum END AS segment_ms FROM (SELECT run_id, act, cum, lag(act) OVER (PARTITION BY run_id ORDER BY act) AS prev_act, lag(cum) OVER (PARTITION BY run_id ORDER BY act) AS prev_cum FROM (SELECT run_id, act, cast(sum(segment_ms) OVER (PARTITION BY run_id ORDER BY act) AS bigint) AS cum FROM splits) c WHERE (run_id + act) % 5 <> 0) x",
     "renumber": "SELECT id, game, category, row_number() OVER (PARTITION BY game, category ORDER BY started_at_ms, id) AS attempt_number FROM runs",
     "collision_ids": "SELECT id, started_at_ms DIV 60000 * 60000 + row_number() OVER (PARTITION BY started_at_ms DIV 60000 ORDER BY id) - 1 AS published_id FROM runs",
     "day_slug": "SELECT id, CASE WHEN n = 1 THEN day ELSE concat(day, '-', cast(n AS string)) END AS slug FROM (SELECT id, day, row_number() OVER (PARTITION BY game, day ORDER BY started_at_ms, id) AS n FROM runs) x",
     "counter_outliers": "SELECT id, ls FROM (SELECT id, ls, lag(ls) OVER (PARTITION BY game, category ORDER BY started_at_ms, id) AS p, lead(ls) OVER (PARTITION BY game, category ORDER BY started_at_ms, id) AS n FROM runs WHERE ls IS NOT NULL) x WHERE p < n AND NOT (p < ls AND ls < n)",
-    "fill_numbers": "SELECT id, p + rn - prn AS filled FROM (SELECT id, ls, rn, last_value(ls) IGNORE NULLS OVER (PARTITION BY game, category ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, last_value(mark) IGNORE NULLS OVER (PARTITION BY game, category ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prn, first_value(ls) IGNORE NULLS OVER (PARTITION BY game, category ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n, first_value(mark) IGNORE NULLS OVER (PARTITION BY game, category ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nrn FROM (SELECT *, CASE WHEN ls IS NOT NULL THEN rn END AS mark FROM (SELECT *, row_number() OVER (PARTITION BY game, category ORDER BY started_at_ms, id) AS rn FROM runs) a) b) x WHERE ls IS NULL AND n - p = nrn - prn",
     "coverage": "SELECT day, count(*) AS attempts, max(ls) - min(ls) + 1 AS span FROM runs GROUP BY day",
-    "mutual_nearest": "SELECT a_id, b_id FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.started_at_ms - b.started_at_ms), b.id) AS ra, row_number() OVER (PARTITION BY b.id ORDER BY abs(a.started_at_ms - b.started_at_ms), a.id) AS rb FROM runs a JOIN runs b ON a.session_id = b.session_id AND a.outcome = 'finished' AND b.kind = 'click' AND abs(a.started_at_ms - b.started_at_ms) < 36000000) x WHERE ra = 1 AND rb = 1",
-    "band_join": "SELECT a.id AS a_id, b.id AS b_id FROM runs a JOIN runs b ON a.game = b.game AND a.category = b.category AND a.kind = 'view' AND b.kind = 'click' AND abs(a.started_at_ms - b.started_at_ms) < 30000",
-    "band_anti": "SELECT a.id FROM runs a WHERE a.outcome = 'finished' AND NOT EXISTS (SELECT 1 FROM runs b WHERE b.game = a.game AND b.kind = 'click' AND abs(a.started_at_ms - b.started_at_ms) < 300000)",
     "overlap_anti": "SELECT a.id FROM runs a WHERE a.kind = 'signup' AND NOT EXISTS (SELECT 1 FROM runs b WHERE b.kind = 'error' AND b.game = a.game AND b.started_at_ms < a.started_at_ms + 600000 AND b.started_at_ms + coalesce(b.last_ms, 0) > a.started_at_ms)",
-    "overlap_semi": "SELECT a.id FROM runs a WHERE a.kind = 'signup' AND EXISTS (SELECT 1 FROM runs b WHERE b.kind = 'error' AND b.game = a.game AND b.started_at_ms < a.started_at_ms + 600000 AND b.started_at_ms + coalesce(b.last_ms, 0) > a.started_at_ms)",
-    "echo_rows": "SELECT id, prev_price FROM (SELECT id, price, max(price) OVER (PARTITION BY session_id ORDER BY started_at_ms RANGE BETWEEN UNBOUNDED PRECEDING AND 3600001 PRECEDING) AS prev_price FROM ord) x WHERE prev_price >= price",
-    "run_throughs": "SELECT session_id, thread, count(*) AS runs, min(started_at_ms) AS started_at_ms FROM (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY started_at_ms, id ROWS UNBOUNDED PRECEDING) AS thread0, cast(sum(fresh) OVER (PARTITION BY session_id ORDER BY started_at_ms, id ROWS UNBOUNDED PRECEDING) AS bigint) AS thread FROM (SELECT *, CASE WHEN started_at_ms - lag(started_at_ms) OVER (PARTITION BY session_id ORDER BY started_at_ms, id) <= 7200000 THEN 0 ELSE 1 END AS fresh FROM runs) a) b GROUP BY session_id, thread",
     "session_runs": "SELECT game, cast(max(grp) AS bigint) AS groups FROM (SELECT game, sum(edge) OVER (PARTITION BY game ORDER BY started_at_ms, id ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN session_id = lag(session_id) OVER (PARTITION BY game ORDER BY started_at_ms, id) THEN 0 ELSE 1 END AS edge FROM runs) a) b GROUP BY game",
     "event_matrix": "SELECT game, min(CASE WHEN category = 'cat0' THEN final_ms END) AS c0, min(CASE WHEN category = 'cat1' THEN final_ms END) AS c1, min(CASE WHEN category = 'cat2' THEN final_ms END) AS c2 FROM runs GROUP BY game",
     "row_best": "SELECT game, CASE WHEN count(final_ms) >= 2 THEN min(final_ms) END AS best, cast(sum(CASE WHEN final_ms IS NULL THEN 1 ELSE 0 END) AS bigint) AS gaps FROM runs GROUP BY game",
@@ -87,13 +73,11 @@ BODIES: dict[str, str] = {
     "asof_clock": "SELECT id, CASE WHEN started_at_ms - seen <= 3600000 THEN timer END AS total_ms FROM (SELECT id, kind, started_at_ms, last_value(CASE WHEN kind = 'view' THEN started_at_ms END) IGNORE NULLS OVER (PARTITION BY game ORDER BY started_at_ms, CASE WHEN kind = 'view' THEN 0 ELSE 1 END, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen, last_value(CASE WHEN kind = 'view' THEN coalesce(last_ms, -1) END) IGNORE NULLS OVER (PARTITION BY game ORDER BY started_at_ms, CASE WHEN kind = 'view' THEN 0 ELSE 1 END, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS timer FROM runs) x WHERE kind = 'click'",
     "log_diff": "SELECT count_if(b.id IS NULL) AS only_a, count_if(a.id IS NULL) AS only_b, count_if(a.last_ms <> b.last_ms) AS differ FROM (SELECT id, last_ms FROM runs WHERE id % 3 <> 0) a FULL OUTER JOIN (SELECT id, last_ms + id % 2 AS last_ms FROM runs WHERE id % 5 <> 0) b ON a.id = b.id",
     "misread_rate": "SELECT kind, count(*) AS pairs, count_if(abs((last_ms - p) - (started_at_ms - t)) > 60) AS misread FROM (SELECT kind, last_ms, started_at_ms, lag(last_ms) OVER (PARTITION BY session_id ORDER BY started_at_ms, id) AS p, lag(started_at_ms) OVER (PARTITION BY session_id ORDER BY started_at_ms, id) AS t FROM runs) x WHERE last_ms IS NOT NULL AND p IS NOT NULL GROUP BY kind",
-    "clock_cluster": "SELECT game, max(n) AS agreeing FROM (SELECT game, count(*) OVER (PARTITION BY game ORDER BY last_ms RANGE BETWEEN 2000 PRECEDING AND 2000 FOLLOWING) AS n FROM runs WHERE last_ms IS NOT NULL) x GROUP BY game",
     "settled_values": "SELECT game, ls, count(*) AS votes, max(started_at_ms) - min(started_at_ms) AS span_ms FROM runs WHERE ls IS NOT NULL GROUP BY game, ls HAVING count(*) >= 2 AND max(started_at_ms) - min(started_at_ms) >= 45000",
     "name_consensus": "SELECT game, kind FROM (SELECT game, kind, row_number() OVER (PARTITION BY game ORDER BY n DESC, kind) AS rn FROM (SELECT game, kind, count(*) AS n FROM runs GROUP BY game, kind) a) b WHERE rn = 1",
     "identity_tally": "SELECT session_id, count_if(kind = 'error') AS convicting, count_if(kind = 'purchase') AS clear_reads, count_if(kind NOT IN ('error', 'purchase')) AS silent FROM runs GROUP BY session_id",
     "plausibility_floor": "SELECT game, min(best DIV 2) AS floor_ms FROM (SELECT game, category, min(final_ms) AS best FROM runs GROUP BY game, category) x WHERE best IS NOT NULL GROUP BY game",
     "capture_health": "SELECT day, cast(sum(ls) AS bigint) AS frames, cast(sum(CASE WHEN last_ms IS NOT NULL THEN ls ELSE 0 END) AS bigint) AS parsed, cast(sum(CASE WHEN last_ms IS NOT NULL THEN ls ELSE 0 END) * 100 AS bigint) DIV cast(sum(ls) AS bigint) AS pct FROM runs GROUP BY day",
-    "live_replay_unmatched": "SELECT a.id FROM runs a WHERE a.outcome = 'finished' AND a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM runs b WHERE b.game = a.game AND b.id % 2 = 1 AND abs(a.started_at_ms - b.started_at_ms) <= 30000) AND NOT EXISTS (SELECT 1 FROM runs b WHERE b.game = a.game AND b.id % 2 = 1 AND b.final_ms = a.final_ms AND abs(a.started_at_ms - b.started_at_ms) <= 3600000)",
     "roster_region": "SELECT r.r_name AS event, count(*) AS games, min(n.n_name) AS first_game FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
     "restart_keep": "SELECT game, id FROM (SELECT game, id, started_at_ms - coalesce(last_ms, 0) AS base, max(started_at_ms - coalesce(last_ms, 0)) OVER (PARTITION BY game) AS top FROM runs) x WHERE base >= top - 1800000",
 }
@@ -117,8 +101,14 @@ def _oracle(body: str) -> str:
     return ((f"WITH {views} " if views else "") + body).replace(" DIV ", " // ").replace("AS string)", "AS varchar)")
 
 
-QUERIES = {k: _relational(b) for k, b in BODIES.items()}
-ORACLE = {k: _oracle(b) for k, b in BODIES.items()}
+def _apart(body: str) -> str:
+    """An oracle of its own, with the views it reads in front."""
+    views = ", ".join(f"{v} AS ({sql.format(src=name, **_DUCK)})" for v, (sql, name) in _VIEWS.items() if re.search(rf"\b{v}\b", body))
+    return f"WITH {views}, {body}" if views else f"WITH {body}"
+
+
+QUERIES = {k: _relational(b) for k, b in (BODIES | records.SPARK).items()}
+ORACLE = {k: _oracle(b) for k, b in BODIES.items()} | {k: _apart(b) for k, b in records.DUCK.items()}
 
 
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
