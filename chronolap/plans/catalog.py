@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolap.functions import text
-from chronolap.plans import records
+from chronolap.plans import more, records
 from chronolap.session import table
 from chronolap.streaming import batch, trackers
 
@@ -85,7 +85,7 @@ BODIES: dict[str, str] = {
 
 def _relational(body: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        args = {v: spark.sql(sql.format(src="{t}", **_SPARK), t=table(spark, sf_dir, name)) for v, (sql, name) in _VIEWS.items() if f" {v}" in body}
+        args = {v: spark.sql(sql.format(src="{t}", **_SPARK), t=table(spark, sf_dir, name)) for v, (sql, name) in _VIEWS.items() if re.search(rf"\b{v}\b", body)}
         args |= {t: table(spark, sf_dir, t) for t in _PLAIN if f" {t} " in f"{body} "}
         out = body
         for v in args:
@@ -107,8 +107,9 @@ def _apart(body: str) -> str:
     return f"WITH {views}, {body}" if views else f"WITH {body}"
 
 
-QUERIES = {k: _relational(b) for k, b in (BODIES | records.SPARK).items()}
-ORACLE = {k: _oracle(b) for k, b in BODIES.items()} | {k: _apart(b) for k, b in records.DUCK.items()}
+BODIES |= more.SAME
+QUERIES = {k: _relational(b) for k, b in (BODIES | records.SPARK | {k: b for k, (b, _) in more.APART.items()}).items()}
+ORACLE = {k: _oracle(b) for k, b in BODIES.items()} | {k: _apart(b) for k, b in (records.DUCK | {k: b for k, (_, b) in more.APART.items()}).items()}
 
 
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
