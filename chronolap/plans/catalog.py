@@ -12,10 +12,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolap.functions import text
+from chronolap.functions import names, text
 from chronolap.plans import more, records
 from chronolap.session import table
-from chronolap.streaming import batch, trackers
+from chronolap.streaming import batch, runs, trackers
 
 _RUNS = """SELECT event_id AS id, concat('game', cast(user_id % 7 AS string)) AS game, concat('cat', cast(user_id % 3 AS string)) AS category,
   user_id AS session_id, {ms} AS started_at_ms, {day} AS day, event_type AS kind,
@@ -137,3 +137,71 @@ ORACLE |= {
     "normalise_title": "SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS title FROM documents",
     "edit_close": "SELECT p_partkey, levenshtein(p_brand, 'Brand#23') * 5 <= greatest(length(p_brand), 8) AS near FROM part",
 }
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timer for each session, made of the order of its events: up to 70 s, standing, then from zero again; errors are unread."""
+    body = "SELECT session_id, id, 1000 * row_number() OVER (PARTITION BY session_id ORDER BY started_at_ms, id) AS t_ms, kind FROM runs"
+    r = _relational(body)(spark, sf_dir)
+    return r.select("session_id", "t_ms", "id", F.when(F.col("kind") != "error", F.least(F.expr("t_ms div 1000 % 97"), F.lit(70)) * 1000).alias("value"))
+
+
+def _boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of boards with damaged nation names, and the nations of each region as a roster."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    roster = nation.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("event"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("game"), F.lit(None).cast("string").alias("board"))
+    s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    board = F.expr("s_suppkey div 8").alias("board")
+    return s.select(board, (F.col("s_suppkey") % 8).alias("position"), F.when(F.col("s_suppkey") % 3 == 0, F.expr("substr(n_name, 2)")).otherwise(F.col("n_name")).alias("name")), roster
+
+
+def _split_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts that the split tracker confirms when each is shown twice over a comparison ten seconds slower."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("act")
+        cum = pdf["segment_ms"].cumsum().astype(int).tolist()
+        state, out = trackers.SplitTracker(len(cum), 50, 2), []
+        state.observe([c + 10_000 for c in cum], 0)
+        for k, c in enumerate(cum):
+            shown = [*cum[: k + 1], *[x + 10_000 for x in cum[k + 1 :]]]
+            for now in (c + 1000, c + 2000):
+                out += state.observe(shown, now)
+        return pd.DataFrame([(pdf["run_id"].iloc[0], a, v) for a, v in out], columns=["run_id", "act", "cumulative_ms"])
+
+    return _relational("SELECT run_id, act, segment_ms FROM splits")(spark, sf_dir).groupBy("run_id").applyInPandas(run, "run_id long, act long, cumulative_ms long")
+
+
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.col("ms")
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 9000000).alias("ms"))
+    return p.select("p_partkey", text.format_seconds(ms).alias("whole"), text.format_rounded(ms).alias("rounded"), text.format_tenths(ms).alias("tenths"), text.format_feed(ms).alias("feed"), text.build_stamp(ms * 1000).alias("stamp"), text.local_day(ms * 10000).alias("day"))
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times without their point, with a stray digit, or with the point for the colon."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 3600000).alias("ms"))
+    m, s, c = (F.expr(x) for x in ("ms div 60000", "ms div 1000 % 60", "ms div 10 % 100"))
+    joined, gap, point = F.format_string("%d:%02d%02d", m, s, c), F.format_string("%d:%02d %02d", m, s, c), F.format_string("%d.%02d", m, s)
+    return p.select("p_partkey", text.parse_timer(joined).alias("joined_ms"), text.parse_timer(gap).alias("gap_ms"), text.parse_total(point).alias("total_ms"), text.time_shaped(point).alias("shaped"), text.has_fraction(joined).alias("fraction"), text.parse_counter(F.concat(F.col("p_partkey").cast("string"), F.lit("."))).alias("counter"))
+
+
+QUERIES |= {
+    "formats": _formats,
+    "repaired_times": _damaged,
+    "game_matches": lambda s, d: table(s, d, "part").select("p_partkey", text.game_matches(F.col("p_name"), F.col("p_type")).alias("same"), text.game_matches(F.col("p_brand"), F.lit("brand-32")).alias("near")),
+    "run_tracker": lambda s, d: runs.run_events(_readings(s, d)),
+    "tracked_runs": lambda s, d: runs.run_rows(runs.run_events(_readings(s, d)), _readings(s, d)),
+    "split_tracker": _split_passes,
+    "roster_assign": lambda s, d: names.resolve_boards(*_boards(s, d)),
+    "resolve_names": lambda s, d: names.resolve(*_boards(s, d)),
+}
+_HMS = "CASE WHEN {s} >= 3600 THEN printf('%d:%02d:%02d', {s} // 3600, {s} // 60 % 60, {s} % 60) ELSE printf('%d:%02d', {s} // 60, {s} % 60) END"
+_FOLD = "lower(regexp_replace({c}, '[^A-Za-z0-9]', '', 'g'))"
+_LIKE = "{a} <> '' AND {b} <> '' AND (contains({a}, {b}) OR contains({b}, {a}) OR levenshtein({a}, {b}) * 5 <= greatest(length({a}), length({b})))"
+ORACLE |= {
+    "formats": f"SELECT p_partkey, {_HMS.format(s='(ms // 1000)')} AS whole, {_HMS.format(s='((ms + 500) // 1000)')} AS rounded, ({_HMS.format(s='(ms // 1000)')}) || '.' || (ms // 100 % 10) AS tenths, CASE WHEN (ms + 50) // 100 >= 600 THEN printf('%d:%02d.%d', (ms + 50) // 60000, (ms + 50) // 1000 % 60, (ms + 50) // 100 % 10) ELSE printf('%d.%d', (ms + 50) // 1000, (ms + 50) // 100 % 10) END AS feed, strftime(make_timestamp(ms * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp, strftime(make_timestamp(ms * 10000000), '%Y-%m-%d') AS day FROM (SELECT p_partkey, p_partkey * 7919 % 9000000 AS ms FROM part)",
+    "repaired_times": "SELECT p_partkey, ms // 10 * 10 AS joined_ms, ms // 10 * 10 AS gap_ms, CASE WHEN ms >= 60000 THEN ms // 1000 * 1000 END AS total_ms, ms // 60000 < 60 AS shaped, false AS fraction, p_partkey AS counter FROM (SELECT p_partkey, p_partkey * 7919 % 3600000 AS ms FROM part)",
+    "game_matches": f"SELECT p_partkey, {_LIKE.format(a=_FOLD.format(c='p_name'), b=_FOLD.format(c='p_type'))} AS same, {_LIKE.format(a=_FOLD.format(c='p_brand'), b=chr(39) + 'brand32' + chr(39))} AS near FROM part",
+}

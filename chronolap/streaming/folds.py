@@ -11,25 +11,31 @@ from dataclasses import dataclass, field
 
 @dataclass
 class ClockGate:
-    """Accept a reading reachable from the last one within `slack` ms; re-anchor after three that agree."""
+    """Accept a reading that a clock could show after the last one: no earlier and no further on than time has passed.
+
+    `slack` ms either way. A clock may stand. `need` refused readings that could follow one another are the
+    new anchor if the clock has moved on among them; one that stands never is.
+    """
 
     slack: int = 1000
     need: int = 3
     last: tuple[int, int] | None = None
-    moved: list[tuple[int, int]] = field(default_factory=list)
+    refused: list[tuple[int, int]] = field(default_factory=list)
+
+    def _after(self, a: tuple[int, int], b: tuple[int, int]) -> bool:
+        return -self.slack <= b[1] - a[1] <= max(b[0] - a[0], 0) + self.slack
 
     def observe(self, t: int, v: int | None) -> int | None:
         if v is None:
             return None
-        if self.last is None or abs(v - self.last[1] - (t - self.last[0])) <= self.slack:
-            self.last, self.moved = (t, v), []
-            return v
-        if self.moved and abs(v - self.moved[-1][1] - (t - self.moved[-1][0])) > self.slack:
-            self.moved = []
-        self.moved.append((t, v))
-        if len(self.moved) < self.need:
-            return None
-        self.last, self.moved = (t, v), []
+        now = (t, v)
+        if self.last is not None and not self._after(self.last, now):
+            self.refused = [*self.refused, now] if self.refused and self._after(self.refused[-1], now) else [now]
+            if len(self.refused) < self.need or v <= self.refused[0][1]:
+                if len(self.refused) > self.need:  # the first and the last are all that matter
+                    del self.refused[1:-self.need + 1]
+                return None
+        self.last, self.refused = now, []
         return v
 
 
@@ -82,7 +88,9 @@ class Confirmed:
     seen: int = 0
 
     def observe(self, v: int | None) -> int | None:
-        if v is None or v == self.value:
+        if v is None:  # not a sighting of anything
+            return None
+        if v == self.value:
             self.pending, self.seen = None, 0
             return None
         self.seen = self.seen + 1 if v == self.pending else 1
