@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from chronolap.llm import blobs, scratch, words
 
-CELLS, RANGES, LOOK, BLOCK, SEEN = 1 << 21, 64, 8, 1024, 1 << 18
+CELLS, RANGES, LOOK, BLOCK, SEEN, BITS = 1 << 21, 64, 8, 1024, 1 << 17, 1 << 24
 NO_ID = -(2**63)
 _RECORD = np.dtype([("token", "<u4"), ("a", "<u8"), ("x", "<u8"), ("y", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4")])
 _CELL = np.dtype([("cell", "<u4"), ("n", "<u4")])
@@ -151,16 +151,23 @@ def postings(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
             x, y = s.sketches()
             doc = _ids(p.column(0))[s.row]
             again = np.zeros(len(doc), bool)
+            # sets that come more than once in a part are looked for in the parts after it
+            by = np.lexsort((s.line, doc, x, s.a))
+            same = np.r_[False, (s.a[by][1:] == s.a[by][:-1]) & (x[by][1:] == x[by][:-1])]
+            again[by[same]] = True
+            often = np.zeros(len(doc), bool)
+            often[by[np.flatnonzero(same[1:] & ~same[:-1])]] = True
             if len(seen[0]) > SEEN:
                 seen = [{}, seen[0]]
             now, old = seen
-            for i, (k, d, n) in enumerate(zip(zip(s.a.tolist(), x.tolist()), doc.tolist(), s.line.tolist())):
+            known = np.fromiter((k[0] for k in (*now, *old)), np.uint64, len(now) + len(old))
+            for i in np.flatnonzero((often | np.isin(s.a, known)) & ~again).tolist():
+                k, mine = (int(s.a[i]), int(x[i])), (int(doc[i]), int(s.line[i]))
                 first = now.get(k) or old.get(k)
-                if first is None or (d, n) < first:
-                    now[k] = d, n
-                else:
-                    now[k] = first
-                    again[i] = first != (d, n)
+                if first is not None and first < mine:
+                    again[i], now[k] = True, first
+                elif often[i] or first is not None:
+                    now[k] = mine
             if again.any():
                 d = np.empty(int(again.sum()), [("doc", "<i8"), ("line", "<i4"), ("a", "<u8")])
                 d["doc"], d["line"], d["a"] = doc[again], s.line[again], s.a[again]
@@ -339,8 +346,15 @@ def verified(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     held.append(b.slice(i, j - i))
         yield from end()
 
+    wanted = scratch.write(wanted, "wanted")
     by = wanted.groupBy("doc").agg(F.collect_set(F.struct("line", "a", *keys, "o", "late")).alias("want"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
+    # Most documents have no wanted line: BITS bits, set by hash, keep their texts out of the shuffle. The size
+    # of what is broadcast is fixed; where most bits are set, more texts travel and the result is the same.
+    slot = F.pmod(F.xxhash64("doc"), F.lit(BITS))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    bits = wanted.select("doc").distinct().select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.bit_or(bit).alias("bits"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text").withColumn("slot", slot).withColumn("w", F.expr("slot div 64"))
+    texts = texts.join(F.broadcast(bits), "w").where(F.col("bits").bitwiseAND(bit) != 0).select("doc", "text")
     sent = texts.join(by, "doc").select("doc", "text", "want").mapInArrow(sets, f"g long, ob long, mb long, o long, late boolean, {LINE}, s binary")
     return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(check, LINE).distinct()
 
