@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     nodes = scratch.write(clusters.join(classes, "node").select("node", "component", "w", "rep"), "nodes")
     weight = nodes.select("node", "w")
     ids = nodes.select("node", "rep.id", "rep.key")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), "text").join(ids, ["id", "key"]).select("node", "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), "text")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("w") / HEAVY))
 
     def confirm(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,7 +241,9 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
         return pd.DataFrame({"a": [ids[i] for i, _ in e], "b": [ids[j] for _, j in e]}, dtype="int64")
 
     def confirmed(placed: DataFrame, *key: str) -> DataFrame:
-        return placed.select(*key, "node", "part").join(texts, "node").groupBy(*key).applyInPandas(confirm, "a long, b long")
+        there = placed.select(*(F.col(k).alias(f"at_{k}") for k in key), "node", "part").join(ids, "node")
+        sent = texts.join(there.hint("merge"), ["id", "key"]).select(*(F.col(f"at_{k}").alias(k) for k in key), "node", "part", "text")
+        return sent.groupBy(*key).applyInPandas(confirm, "a long, b long")
 
     best = near.groupBy("node").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head")).join(weight, "node")
     chunk = F.expr("pmod(xxhash64(node), blocks)")
