@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from chronolap.llm import words
 
 COVERAGE = 0.8
-#: Notice texts by license name.
+#: Notices by license name; /text and /header are a licence's permission text and its header for files.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -29,9 +29,19 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Apache-2.0/header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "MIT/text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "ISC/text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "GPL-2.0/header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "Unlicense/text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib/text": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
 }
+#: Words of a related licence; a stretch with one of them is not that notice.
+OTHERS = {k: {"lesser", "library", "affero"} for k in ("GPL-2.0/header", "GPL-3.0/header", "GPL-3.0")}
 #: Words that tell a licence from those with a like notice; a stretch without all of them is not that notice.
-TELLING = {"Apache-2.0": {"apache", "2.0"}, "MIT": {"mit"}, "GPL-3.0": {"gnu", "general", "3"}, "CC-BY-NC-4.0": {"by-nc", "4.0"}, "MPL-2.0": {"mozilla", "2.0"}}
+TELLING = {"Apache-2.0": {"apache", "2.0"}, "MIT": {"mit"}, "GPL-3.0": {"gnu", "general", "3"}, "CC-BY-NC-4.0": {"by-nc", "4.0"}, "MPL-2.0": {"mozilla", "2.0"}, "Apache-2.0/header": {"apache", "2.0"}, "GPL-2.0/header": {"general", "2"}, "GPL-3.0/header": {"general", "3"}, "LGPL-2.1/header": {"lesser", "2.1"}, "ISC/text": {"fee"}, "Unlicense/text": {"unencumbered"}}
 _TOKEN = re.compile(r"\w+(?:[.-]\w+)*")
 
 
@@ -118,7 +128,7 @@ def scan(text: str | None, templates: dict[str, list[str]], share: float = COVER
         best, telling = (0.0, 0, 0), TELLING.get(name, set()) & set(w)
         for lo, end in stretches(t, w, ceil(share * len(w) - 1e-9)):
             pairs = patience(t[lo:end], w, lo)
-            if pairs and len(pairs) / len(w) > best[0] and telling <= {w[y] for _, y in pairs}:
+            if pairs and len(pairs) / len(w) > best[0] and telling <= {w[y] for _, y in pairs} and not OTHERS.get(name, set()) & set(t[pairs[0][0] : pairs[-1][0] + 1]):
                 best = (len(pairs) / len(w), pairs[0][0], pairs[-1][0] + 1)
             if best[0] == 1:
                 break
@@ -141,4 +151,4 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return licenses(docs).selectExpr("doc_id", "array_join(transform(found, x -> x.license), ',') as licenses", "found")
+    return licenses(docs).selectExpr("doc_id", "array_join(array_distinct(transform(found, x -> split(x.license, '/')[0])), ',') as licenses", "found")

@@ -227,7 +227,8 @@ def test_licenses(docs, odd, none):
     assert licenses.patience("a b c d e".split(), "a x c d e".split()) == [(0, 0), (2, 2), (3, 3), (4, 4)]
     t = {k: licenses.tokens(v) for k, v in licenses.TEMPLATES.items()}
     for k, v in licenses.TEMPLATES.items():
-        assert [x[0] for x in licenses.scan(f"some words before. {v}\nand after it", t)] == [k]
+        found = [x[0] for x in licenses.scan(f"some words before. {v}\nand after it", t)]
+        assert k in found and {x.split("/")[0] for x in found} == {k.split("/")[0]}
     assert licenses.scan("the work was released to the public", t) == []
     marks = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
     got = {r.doc_id: r.licenses.split(",") for r in licenses.query(docs).collect()}
@@ -356,7 +357,7 @@ def test_licenses_changed_or_repeated():
     text = "Distributed under the MIT License. " + "other words " * 30 + "it was released " + "more words " * 30 + "Distributed under the MIT License."
     assert [x[0] for x in licenses.scan(text, t)] == ["MIT"]
     for k, v in licenses.TEMPLATES.items():
-        assert [x[0] for x in licenses.scan(f"some words {v} {v} {v} and after it", t)] == [k]
+        assert k in [x[0] for x in licenses.scan(f"some words {v} {v} {v} and after it", t)]
     assert licenses.scan("the license under which the work was released is not the one of mit", t) == []
 
 
@@ -506,3 +507,16 @@ def test_language_keeps_clashing_columns(spark, docs):
     assert got.columns == d.columns and got.where("score <> 7.5 or lang_pred <> 'mine' or _letter <> doc_id").count() == 0
     null = langid.query(docs.selectExpr("cast(null as long) as doc_id", "text", "lang").limit(3))
     assert [r.held_out for r in null.collect()] == [False] * 3
+
+
+def test_license_texts_apart_from_like_ones():
+    t = {k: licenses.tokens(v) for k, v in licenses.TEMPLATES.items()}
+    lesser = licenses.TEMPLATES["LGPL-2.1/header"].replace("2.1", "3")
+    assert licenses.scan(lesser, t) == [] and licenses.scan("This work is licensed under the GNU Lesser General Public License, version 3.", t) == []
+    old = licenses.TEMPLATES["GPL-3.0/header"].replace("version 3", "version 2")
+    assert [x[0] for x in licenses.scan(old, t)] == ["GPL-2.0/header"]
+    # a permission text that lost words in its middle, far into other text
+    words = licenses.TEMPLATES["MIT/text"].split()
+    text = "a b c " * 500 + " ".join(words[:30] + words[42:]) + " d e f" * 500
+    assert [x[0] for x in licenses.scan(text, t)] == ["MIT/text"]
+    assert licenses.scan(" ".join(words[:40]), t) == []
