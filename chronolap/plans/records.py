@@ -80,6 +80,13 @@ JOIN (SELECT *, started_at_ms DIV 30000 AS k FROM runs WHERE kind = 'click') b O
     "band_anti": """
 SELECT id FROM runs LEFT ANTI JOIN (SELECT a.id AS k FROM (SELECT *, explode(array(started_at_ms DIV 300000 - 1, started_at_ms DIV 300000, started_at_ms DIV 300000 + 1)) AS k FROM runs WHERE outcome = 'finished') a
   JOIN (SELECT *, started_at_ms DIV 300000 AS k FROM runs WHERE kind = 'click') b ON a.k = b.k AND a.game = b.game AND abs(a.started_at_ms - b.started_at_ms) < 300000) m ON id = m.k WHERE outcome = 'finished'""",
+    "overlap_anti": """
+WITH e AS (SELECT id, game, kind, started_at_ms, started_at_ms + 600000 AS t, cast(NULL AS bigint) AS until FROM runs WHERE kind = 'signup'
+  UNION ALL SELECT id, game, kind, started_at_ms, started_at_ms, started_at_ms + coalesce(last_ms, 0) FROM runs WHERE kind = 'error' AND game IS NOT NULL AND started_at_ms IS NOT NULL),
+h AS (SELECT *, t DIV 3600000 AS hour FROM e),
+c AS (SELECT game, hour, max(top) OVER (PARTITION BY game ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT game, hour, max(until) AS top FROM h GROUP BY game, hour) x),
+w AS (SELECT id, game, kind, hour, started_at_ms, max(until) OVER (PARTITION BY game, hour ORDER BY t, until NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM h)
+SELECT w.id FROM w LEFT JOIN c ON w.game = c.game AND w.hour = c.hour WHERE w.kind = 'signup' AND NOT coalesce(greatest(w.top, c.before) > w.started_at_ms, false)""",
     "overlap_semi": """
 SELECT DISTINCT a.id FROM (SELECT *, explode(sequence(started_at_ms DIV 600000, (started_at_ms + 600000) DIV 600000)) AS k FROM runs WHERE kind = 'signup') a
 JOIN (SELECT *, explode(sequence(started_at_ms DIV 600000, (started_at_ms + coalesce(last_ms, 0)) DIV 600000)) AS k FROM runs WHERE kind = 'error') b
