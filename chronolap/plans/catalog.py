@@ -155,24 +155,6 @@ def _boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return s.select(board, (F.col("s_suppkey") % 8).alias("position"), F.when(F.col("s_suppkey") % 3 == 0, F.expr("substr(n_name, 2)")).otherwise(F.col("n_name")).alias("name")), roster
 
 
-def _split_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Acts that the split tracker confirms when each is shown twice over a comparison ten seconds slower."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("act")
-        cum = pdf["segment_ms"].cumsum().astype(int).tolist()
-        state, out = trackers.SplitTracker(len(cum), 50, 2), []
-        state.observe([c + 10_000 for c in cum], 0)
-        for k, c in enumerate(cum):
-            shown = [*cum[: k + 1], *[x + 10_000 for x in cum[k + 1 :]]]
-            for now in (c + 1000, c + 2000):
-                out += state.observe(shown, now)
-        return pd.DataFrame([(pdf["run_id"].iloc[0], a, v) for a, v in out], columns=["run_id", "act", "cumulative_ms"])
-
-    return _relational("SELECT run_id, act, segment_ms FROM splits")(spark, sf_dir).groupBy("run_id").applyInPandas(run, "run_id long, act long, cumulative_ms long")
-
-
 def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.col("ms")
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 9000000).alias("ms"))
@@ -193,7 +175,7 @@ QUERIES |= {
     "game_matches": lambda s, d: table(s, d, "part").select("p_partkey", text.game_matches(F.col("p_name"), F.col("p_type")).alias("same"), text.game_matches(F.col("p_brand"), F.lit("brand-32")).alias("near")),
     "run_tracker": lambda s, d: runs.run_events(_readings(s, d)),
     "tracked_runs": lambda s, d: runs.run_rows(runs.run_events(_readings(s, d)), _readings(s, d)),
-    "split_tracker": _split_passes,
+    "split_tracker": lambda s, d: trackers.split_passes(_relational("SELECT run_id, act, segment_ms FROM splits")(s, d)),
     "roster_assign": lambda s, d: names.resolve_boards(*_boards(s, d)),
     "resolve_names": lambda s, d: names.resolve(*_boards(s, d)),
 }
